@@ -68,6 +68,10 @@ class PairIndexBPE:
         keys = self.left * self.width + self.right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
+        # Pairs of single bytes, which all positions start from, have a table of their own.
+        self.base = int(max(self.first.max(), self.last.max())) + 1
+        a, b = np.divmod(np.arange(self.base**2), self.base)
+        self.base_ranks = self.rank_of(a, b).astype(np.int32)
         back = {c: b for b, c in enumerate(alphabet)}
         self.token_bytes: dict[int, bytes] = {i: bytes(back[c] for c in t.removesuffix(suffix)) if suffix else bytes(back[c] for c in t) for t, i in vocab.items()}
         self.token_text = {i: str(i) for i in self.token_bytes}
@@ -75,7 +79,8 @@ class PairIndexBPE:
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where it isn't mergeable (or a symbol is gone)."""
-        key = np.where((a < 0) | (b < 0), -1, a * self.width + b)
+        key = a.astype(np.int64) * self.width + b
+        key[(a < 0) | (b < 0)] = -1
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -88,16 +93,15 @@ class PairIndexBPE:
             return np.empty(0, np.int64), lengths
         ends = np.cumsum(lengths)
         filled = lengths > 0
-        sym = np.append(self.first[data], -1)
+        sym = np.append(self.first[data], -1).astype(np.int32)
         sym[ends[filled] - 1] = self.last[data[ends[filled] - 1]]
-        right = np.arange(1, n + 2)
-        left = np.arange(-1, n)
-        left = np.append(left, n)[: n + 1]
+        right, left = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         right[ends[filled] - 1] = n  # position n, also reached as -1, is nobody
         right[n] = n
         left[(ends - lengths)[filled]] = n
-        found = self.rank_of(sym[:-1], sym[right[:-1]])
-        at = np.flatnonzero(found >= 0)
+        beside = sym[right[:-1]]
+        found = np.where(beside >= 0, self.base_ranks[sym[:-1] * self.base + np.maximum(beside, 0)], -1)
+        at = np.flatnonzero(found >= 0).astype(np.int32)
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -121,7 +125,8 @@ class PairIndexBPE:
             lists = index.pop(rank)
             pos = lists[0] if len(lists) == 1 else np.concatenate(lists)
             a, b = self.left[rank], self.right[rank]
-            pos = np.unique(pos[(sym[pos] == a) & (sym[right[pos]] == b)])
+            pos = np.sort(pos[(sym[pos] == a) & (sym[right[pos]] == b)])
+            pos = pos[np.append(True, pos[1:] != pos[:-1])[: len(pos)]]
             if a == b and len(pos) > 1:  # runs of one symbol: every other position, from the left
                 order = np.arange(len(pos))
                 starts = np.append(True, right[pos[:-1]] != pos[1:])

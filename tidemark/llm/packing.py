@@ -34,11 +34,13 @@ from tidemark.llm.common import Scratch, chunks, utf8
 CAPACITY = 4096
 END_ID = 1
 CHUNK = 4 << 20
-MEMO = 400_000
+MEMO = 700_000
 #: Ranks are counted within (length, salt); a length gets so many salts that each holds about this many rows.
 ROWS_PER_SALT, MAX_SALTS = 200_000, 1024
 #: Pre-tokenisation of the public word vocabulary (a fixed value).
 WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: Marks that are a pre-token of their own after letters.
+MARKS = frozenset(bytes([c]) for c in b".,;:!?|)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -50,18 +52,44 @@ class WordLevel:
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.bpe.special)) + ")")
         self.memo: dict[bytes, bytes] = {}
 
-    def parts(self, word: str) -> list[str | int]:
-        """Pre-tokens of a word; an int is a special id."""
-        if word.isascii() and "<|" not in word:
-            return WORD_LEVEL.findall(word.lower())
-        out: list[str | int] = []
-        for x in self.special.split(word):
+    def parts(self, word: bytes) -> list[bytes | int]:
+        """Pre-tokens of a word in UTF-8; an int is a special id."""
+        text = word.decode("utf-8", "replace")
+        if "<|" not in text and text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text):
+            return [word]
+        out: list[bytes | int] = []
+        for x in self.special.split(text):
             if x in self.bpe.special:
                 out.append(self.bpe.special[x])
             else:
-                out += WORD_LEVEL.findall("".join([c.lower() for c in unicodedata.normalize("NFC", x)]))
+                out += [p.encode() for p in WORD_LEVEL.findall("".join([c.lower() for c in unicodedata.normalize("NFC", x)]))]
         return out
 
+    def learn(self, new: list[bytes]) -> None:
+        pieces: dict[bytes, int] = {}
+        number = pieces.setdefault
+        plain: list[tuple[bytes, int]] = []
+        marked: list[tuple[bytes, int, int]] = []
+        other: list[tuple[bytes, list[int]]] = []
+        for w in new:
+            if w.isalpha() and w.islower():  # ASCII letters
+                plain.append((w, number(w, len(pieces))))
+            elif (head := w[:-1]).isalpha() and w[-1:] in MARKS and head.islower():
+                marked.append((w, number(head, len(pieces)), number(w[-1:], len(pieces))))
+            else:
+                other.append((w, [p if type(p) is int else ~number(p, len(pieces)) for p in self.parts(w)]))
+        ids, n = self.bpe.encode(list(pieces))
+        data = ids.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(n)).tolist()
+        begins = [0, *ends[:-1]]
+        memo = self.memo
+        for w, i in plain:
+            memo[w] = data[begins[i] : ends[i]]
+        for w, i, j in marked:
+            memo[w] = data[begins[i] : ends[i]] + data[begins[j] : ends[j]]
+        for w, own in other:
+            memo[w] = b"".join([data[begins[~p] : ends[~p]] if p < 0 else p.to_bytes(4, "little") for p in own])
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         rows = [(t if b"<|" in t else t.lower()).split() for t in texts]
@@ -69,16 +97,8 @@ class WordLevel:
             repeated = Counter(w for row in rows for w in row)
             self.memo = {w: self.memo[w] for w, c in repeated.items() if c > 1 and w in self.memo}
         memo = self.memo
-        new = list({w for row in rows for w in row if w not in memo})
-        if new:
-            pieces: dict[str, int] = {}
-            of = [[p if type(p) is int else ~pieces.setdefault(p, len(pieces)) for p in self.parts(w.decode("utf-8", "replace"))] for w in new]
-            ids, n = self.bpe.encode([p.encode() for p in pieces])
-            data = ids.astype("<u4").tobytes()
-            ends = (4 * np.cumsum(n)).tolist()
-            begins = [0, *ends[:-1]]
-            for w, own in zip(new, of, strict=True):
-                memo[w] = b"".join([data[begins[~p] : ends[~p]] if p < 0 else p.to_bytes(4, "little") for p in own])
+        if new := list({w for row in rows for w in row if w not in memo}):
+            self.learn(new)
         get = memo.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
