@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, langid, packing, qda, quality, simhash, substrings
+from tidemark.llm import bpe, htmltext, langid, media, packing, pst, qda, quality, simhash, substrings
 from tidemark.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op4_bpe, op5_best_fit_packing, op6_simhash, op7_quality_classifier, op8_quality_rules)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.suffix_tree_scores(read_table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_array_dedup, op3_media_columns, op4_bpe, op5_best_fit_packing, op6_simhash, op7_quality_classifier, op8_quality_rules, op9_lm_scoring, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
