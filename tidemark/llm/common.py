@@ -150,3 +150,21 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def keep_rows(docs: DataFrame, verdicts) -> DataFrame:
+    """Rows of ``docs``, with all their columns, for which ``verdicts`` (a mapInArrow function) gives true in its last column. Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def feed() -> Iterator[pa.RecordBatch]:
+            for x in chunks(batches):
+                waiting.append(x)
+                yield x
+
+        for judged in verdicts(feed()):
+            batch = waiting.pop(0)
+            yield batch.filter(judged.column(judged.num_columns - 1))
+
+    return docs.mapInArrow(run, docs.schema)

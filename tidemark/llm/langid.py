@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, chunks, held_out, segment_sums
+from tidemark.llm.common import Memo, chunks, held_out, keep_rows, segment_sums
 
 ORDER = 4
 #: Characters beyond which evidence no longer sharpens the score.
@@ -162,6 +162,7 @@ def scorer(model: LanguageModel | None):
         memo = Memo(model.word_figures) if model else None
         for batch in chunks(batches):
             rows = batch.num_rows
+            flag = batch.column("held_out") if "held_out" in batch.schema.names else pa.array([False] * rows)
             best, score, entropy, ok = [None] * rows, np.zeros(rows), np.full(rows, np.nan), np.zeros(rows, bool)
             if memo is not None:
                 memo.refresh()
@@ -181,7 +182,7 @@ def scorer(model: LanguageModel | None):
                     ok = some & (lowest <= model.limits[win])
                     best = [model.langs[w] if s else None for w, s in zip(win, some, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array([b or "und" for b in best], pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(ok)],
+                [batch.column("doc_id").cast(pa.int64()), flag, pa.array([b or "und" for b in best], pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(ok)],
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
 
@@ -243,3 +244,9 @@ def language_id(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFr
     """Learn from rows whose crc32(doc_id) modulo ``modulus`` is not ``remainder``, predict all."""
     held = held_out(F.col("doc_id"), modulus, remainder)
     return identify(docs, train(docs.select("doc_id", "text", "lang"), ~held), held)
+
+
+def keep_identified(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """The documents, with all their columns, whose language is identified and not rejected; learns like ``language_id``."""
+    held = held_out(F.col("doc_id"), modulus, remainder)
+    return keep_rows(docs, scorer(train(docs.select("doc_id", "text", "lang"), ~held)))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import Memo, chunks, segment_sums, utf8
+from tidemark.llm.common import Memo, chunks, keep_rows, segment_sums, utf8
 from tidemark.llm.textstats import n_dup_lines, n_symbols, repeat_words, word_chars
 
 
@@ -166,3 +166,18 @@ def quality_rules(docs: DataFrame, model: str | None = None, bands: dict[str, Ba
     Narrow: no shuffle, a worker's memory is bounded by a text chunk and the word memo.
     """
     return docs.select("doc_id", "text").mapInArrow(rules(model or default_model(), bands or BANDS), SCHEMA)
+
+
+def only_kept(verdicts):
+    """Move ``kept`` last, where ``keep_rows`` looks for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in verdicts(batches):
+            yield batch.select(["kept"])
+
+    return run
+
+
+def keep_good(docs: DataFrame, model: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
+    """The documents, with all their columns, that the rules keep."""
+    return keep_rows(docs, only_kept(rules(model or default_model(), bands or BANDS)))
