@@ -5,20 +5,22 @@ smaller doc_id is removed. Finding these strings takes four steps.
 
 1. Anchors: each window of 50 bytes has a least k-gram hash; windows in a row
    that share it form a piece, so equal windows lie in pieces with equal
-   anchors. A task sends one entry for each anchor that it holds.
-2. Anchors that two documents hold become requests for the text of their
-   pieces; anchors of only one document go no further.
-3. The texts of requested pieces meet by anchor in shards. A task sends each
-   distinct piece once, with its smallest doc_id; pieces of equal text are
-   one. The distinct pieces of a shard are sorted by external induced sorting
-   (see ``suffix``), which gives suffixes and common prefixes; runs of windows
-   that share 50 bytes tell the smallest document of each window.
+   anchors. Entries hold the hashes of anchor and piece; a task sends one for
+   each piece that it holds, that of its smallest document.
+2. Where entries of an anchor meet, equal pieces become one: all windows of a
+   piece are repeated in all but its smallest document. Pieces that differ
+   under an anchor that two documents hold are requested.
+3. The texts of requested pieces meet by anchor in shards. They are sorted by
+   external induced sorting (see ``suffix``), which gives suffixes and common
+   prefixes; runs of windows that share 50 bytes tell the smallest document of
+   each window.
 4. The repeated windows of a document meet its text, whose bytes they remove.
 
 A passage or a text that a third of all documents hold is one entry a task in
-each shuffle. Pieces that stand alone under their anchor, or that share no
-34 bytes around it with another piece, can't hold a repeated window and aren't
-sorted.
+the shuffle by anchors, and one piece in that to the shards. Pieces that stand
+alone under their anchor, or that share no 34 bytes around it with another
+piece, have no window in common with another and aren't sorted. Two different
+pieces would have to agree in 96 bits of hashes to be taken for one.
 
 Defined cases: a null text is empty and loses nothing; documents of one doc_id
 never count against each other; repeated rows get equal results; matches never
@@ -46,9 +48,11 @@ LENGTH, GRAM = 50, 18
 #: Bytes around an anchor that two windows around it share on one side at least.
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes of text that a bucket of anchors and a shard of pieces stand for.
-BUCKET_BYTES, SHARD_BYTES = 12 << 20, 12 << 20
-#: Anchors and pieces that a task gathers before it sends them.
-ANCHORS_AT_ONCE, PIECES_AT_ONCE = 2_000_000, 300_000
+BUCKET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+#: Parts that a shard is made of, so that shards are of even sizes.
+PARTS = 16
+#: Anchors that a task gathers before it sends them.
+ANCHORS_AT_ONCE = 1_500_000
 SALTS = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 KEEP = np.uint64(16)
@@ -87,6 +91,32 @@ def pieces_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return least[start], start, np.diff(np.append(start, len(least)))
 
 
+POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MULTIPLIER to the power -1, -2, ... and 0, 1, ...; n of each at least."""
+    if not POWERS or len(POWERS[0]) < n:
+        size = max(1 << 16, 2 * n)
+        with np.errstate(over="ignore"):
+            inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+            down = np.multiply.accumulate(np.full(size, inverse, np.uint64))
+            up = np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, MULTIPLIER, np.uint64)))
+        POWERS[:] = [down, up]
+    return POWERS[0], POWERS[1]
+
+
+def piece_hashes(data: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """48-bit hash of the bytes of each piece, wherever it stands."""
+    down, up = powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], dtype=np.uint64))
+        end = start + windows + (LENGTH - 1)
+        out = (sums[end] - sums[start]) * up[start] + windows.astype(np.uint64) * MULTIPLIER
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return (out ^ (out >> np.uint64(29))) >> KEEP
+
+
 def shrink(values: np.ndarray) -> bytes:
     """Compressed by byte planes."""
     return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
@@ -97,7 +127,7 @@ def grow(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-ENTRY = (("hash", np.uint64), ("doc", np.int64), ("text", np.int64), ("start", np.uint32), ("windows", np.uint32))
+ENTRY = (("hash", np.uint64), ("piece", np.uint64), ("doc", np.int64), ("text", np.int64), ("start", np.uint32), ("windows", np.uint32))
 ENTRIES = "bucket int, known boolean, " + ", ".join(f"{n} binary" for n, _ in ENTRY)
 
 
@@ -114,32 +144,33 @@ def entry_rows(columns: list[np.ndarray], bucket: np.ndarray, known: bool) -> It
         )
 
 
+def leaders(h: np.ndarray, piece: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by anchor, piece and document; in it, whether a row's document is the smallest with the piece, and where pieces begin."""
+    order = np.lexsort((doc, piece, h))
+    h, piece, doc = h[order], piece[order], doc[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (piece[1:] != piece[:-1])
+    least = doc[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+    return order, doc == least, first
+
+
 def anchor_sender(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         docs: list[int] = []
         texts: dict[bytes, int] = {}
         prints: list[int] = []
         held = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            sizes = [len(h) for h, _, _ in found]
-            owner = np.repeat(np.arange(len(found)), sizes)
-            h, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
-            doc = np.array(docs, np.int64)[owner]
-            text = np.array(prints, np.int64)[owner]
-            order = np.lexsort((doc, h))
-            h, doc, text, start, windows = (x[order] for x in (h, doc, text, start, windows))
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            size = np.diff(np.append(first, len(h)))
-            shared = doc[first] != doc[first + size - 1]
-            every = np.repeat(shared, size)
-            # Two documents here hold these anchors: their pieces are wanted, and other tasks hear of the hash alone.
-            yield from entry_rows([x[every] for x in (h, doc, text, start, windows)], (start[every] + doc[every]) % buckets, True)
-            zero = np.zeros(int(shared.sum()), np.int64)
-            lone = ~every
-            heard = [np.concatenate([a[lone], b]) for a, b in zip((h, doc, text, start, windows), (h[first][shared], zero, zero, zero, zero), strict=True)]
-            yield from entry_rows(heard, (heard[0] % np.uint64(buckets)).astype(np.int64), False)
+            owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            h, piece, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+            doc, text = np.array(docs, np.int64)[owner], np.array(prints, np.int64)[owner]
+            order, lead, _ = leaders(h, piece, doc)
+            cols = [x[order] for x in (h, piece, doc, text, start, windows)]
+            # A smaller document here holds the same piece: all its windows are repeated. The smallest goes on.
+            yield from entry_rows([x[~lead] for x in cols], (cols[4] + cols[2])[~lead] % buckets, True)
+            yield from entry_rows([x[lead] for x in cols], (cols[0][lead] % np.uint64(buckets)).astype(np.int64), False)
 
         for batch in chunks(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
@@ -152,7 +183,9 @@ def anchor_sender(buckets: int):
                 texts[key] = len(docs)
                 docs.append(doc)
                 prints.append(text_print(text))
-                found.append(pieces_of(np.frombuffer(text, np.uint8)))
+                data = np.frombuffer(text, np.uint8)
+                h, start, windows = pieces_of(data)
+                found.append((h, piece_hashes(data, start, windows), start, windows))
                 held += len(found[-1][0])
             if held > ANCHORS_AT_ONCE:
                 yield from send()
@@ -169,78 +202,61 @@ def text_print(text: bytes) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-REQUESTS = "doc_id long, text_print long, hash long, start int, windows int"
+FOUND = "doc_id long, text_print long, hash long, start int, windows int"
 
 
-def requester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Requests for the pieces whose anchor two documents hold."""
+def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows known to be repeated (hash is null), and requests for the pieces that differ under one anchor (hash is the anchor)."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
 
-    def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-        h, doc, text, start, windows = cols
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), pa.array(h.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], names=[x.split()[0] for x in REQUESTS.split(", ")])
+    def out(cols: list[np.ndarray], asked: bool) -> pa.RecordBatch:
+        h, _, doc, text, start, windows = cols
+        anchor = pa.array(h.astype(np.int64)) if asked else pa.nulls(len(h), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), anchor, pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))], names=names)
 
     heard: list[list[np.ndarray]] = []
     for batch in batches:
         for row in batch.to_pylist():
             cols = [grow(row[n], t) for n, t in ENTRY]
             if row["known"]:
-                yield out(cols)
+                yield out(cols, False)
             else:
                 heard.append(cols)
     if not heard:
         return
-    h, doc, text, start, windows = (np.concatenate(x) for x in zip(*heard, strict=True))
+    cols = [np.concatenate(x) for x in zip(*heard, strict=True)]
     del heard
-    order = np.argsort(h, kind="stable")
-    h, doc, text, start, windows = (x[order] for x in (h, doc, text, start, windows))
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-    note = windows == 0
-    shared = np.zeros(len(first), bool)
-    shared[group[note]] = True
-    low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-    want = (shared | (low != high))[group] & ~note
-    yield out([x[want] for x in (h, doc, text, start, windows)])
+    order, lead, first = leaders(cols[0], cols[1], cols[2])
+    cols = [x[order] for x in cols]
+    yield out([x[~lead] for x in cols], False)
+    h, doc = cols[0], cols[2]
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(head, append=len(h))
+    several = (np.add.reduceat(first, head) > 1) & (np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head))
+    ask = np.repeat(several, size) & lead
+    yield out([x[ask] for x in cols], True)
 
 
 PIECES = "part int, hash long, piece binary, doc_id long, text_print long, start int, windows int"
 
 
-def piece_sender(shards: int):
-    """Texts of requested pieces: the smallest document's for each distinct piece; all others are repeated as they are."""
+def piece_sender(parts: int):
+    """Texts of requested pieces."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[], [], [], [], [], []]
-
-        def send() -> pa.RecordBatch:
-            h, doc, text, start, windows = (np.array(x, np.int64) for x in (cols[0], *cols[2:]))
-            pieces = pa.array(cols[1], pa.binary())
-            code = pieces.dictionary_encode().indices.to_numpy()
-            least = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, code, doc)
-            lead = doc == least[code]
-            part = np.where(lead, h % shards, (doc + start) % shards)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(h), pc.if_else(pa.array(lead), pieces, pa.scalar(None, pa.binary())), pa.array(doc), pa.array(text), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
-                names=[x.split()[0] for x in PIECES.split(", ")],
-            )
-
         for batch in chunks(batches):
-            docs, prints, wants = (batch.column(c).to_pylist() for c in ("doc_id", "text_print", "wants"))
-            for doc, text_id, text, want in zip(docs, prints, utf8(batch), wants, strict=True):
-                for w in want:
-                    h, start, windows = w["hash"], w["start"], w["windows"]
-                    cols[0].append(h)
-                    cols[1].append(text[start : start + windows + LENGTH - 1])
-                    cols[2].append(doc)
-                    cols[3].append(text_id)
-                    cols[4].append(start)
-                    cols[5].append(windows)
-            if len(cols[0]) >= PIECES_AT_ONCE:
-                yield send()
-                cols = [[], [], [], [], [], []]
-        if cols[0]:
-            yield send()
+            wants = batch.column("wants")
+            n = pc.list_value_length(wants).to_numpy()
+            h, start, windows = (wants.flatten().field(i).to_numpy() for i in range(3))
+            ends = start + windows + (LENGTH - 1)
+            pieces, at = [], 0
+            for text, k in zip(utf8(batch), n.tolist(), strict=True):
+                pieces += [text[a:b] for a, b in zip(start[at : at + k].tolist(), ends[at : at + k].tolist(), strict=True)]
+                at += k
+            owner = pa.array(np.repeat(np.arange(len(n)), n))
+            cols = [pa.array((h % parts).astype(np.int32)), pa.array(h), pa.array(pieces, pa.binary()), batch.column("doc_id").take(owner), batch.column("text_print").take(owner), pa.array(start), pa.array(windows)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -251,15 +267,8 @@ SPANS = "doc_id long, text_print long, start int, windows int"
 def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of the pieces of a shard, as runs of their starts."""
     names = [x.split()[0] for x in SPANS.split(", ")]
-    kept = []
-    for batch in batches:
-        done = pc.is_null(batch.column("piece"))
-        repeated = batch.filter(done)
-        if repeated.num_rows:
-            yield repeated.select(names)
-        kept.append(batch.filter(pc.invert(done)))
-    table = pa.Table.from_batches(kept) if kept else None
-    if table is None or not table.num_rows:
+    table = pa.Table.from_batches(kept) if (kept := [b for b in batches if b.num_rows]) else None
+    if table is None:
         return
     h, doc, text, start, windows = (table.column(c).to_numpy() for c in ("hash", "doc_id", "text_print", "start", "windows"))
     coded = table.column("piece").combine_chunks().dictionary_encode()
@@ -390,12 +399,18 @@ def digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
+def keep_column(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
+    field = batch.schema.field(name)
+    return batch.set_column(batch.schema.get_field_index(name), field, pa.array(values, field.type))
+
+
 def cleaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The kept text in place of the text; bytes of a character cut in two are dropped."""
     for batch in chunks(batches):
         texts = [None if t is None else remove(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-        at = batch.schema.get_field_index("text")
-        batch = batch.set_column(at, batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
+        batch = keep_column(batch, "text", texts)
+        if "n_chars" in batch.schema.names:
+            batch = keep_column(batch, "n_chars", [None if t is None else len(t) for t in texts])
         yield batch.drop_columns(["spans"])
 
 
@@ -415,16 +430,17 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     buckets, shards = int(total // BUCKET_BYTES) + 1, int(total // SHARD_BYTES) + 1
     entries = docs.select("doc_id", "text").mapInArrow(anchor_sender(buckets), ENTRIES)
-    requests = scratch.save(entries.repartition(buckets, "bucket").mapInArrow(requester, REQUESTS))
+    found = scratch.save(entries.repartition(buckets, "bucket").mapInArrow(judge, FOUND))
     del entries
     scratch.release()
-    wants = requests.groupBy("doc_id", "text_print").agg(F.collect_list(F.struct("hash", "start", "windows")).alias("wants"))
+    known = found.filter("hash is null").select("doc_id", "text_print", "start", "windows")
+    wants = found.filter("hash is not null").groupBy("doc_id", "text_print").agg(F.collect_list(F.struct("hash", "start", "windows")).alias("wants"))
+    # Repeated rows (same doc_id and text) send the same pieces, which are one in the shard.
     asked = docs.filter(size >= LENGTH).join(wants, ["doc_id", "text_print"]).select("doc_id", "text_print", "text", "wants")
-    # Repeated rows (same doc_id and text) ask once.
-    pieces = asked.mapInArrow(piece_sender(shards), PIECES)
-    spans = scratch.save(pieces.repartition(shards, "part").mapInArrow(sort_shard, SPANS).union(copies))
-    del pieces, asked, wants
-    scratch.drop(requests)
+    pieces = asked.mapInArrow(piece_sender(PARTS * shards), PIECES)
+    spans = scratch.save(pieces.repartition(shards, "part").mapInArrow(sort_shard, SPANS).union(known).union(copies))
+    del pieces, asked, wants, known
+    scratch.drop(found, short)
     scratch.release()
     return spans.groupBy("doc_id", "text_print").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
@@ -441,7 +457,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents with repeated passages removed from their text; other columns stay as they are."""
+    """The documents with repeated passages removed from their text (and n_chars, if there is one, to match); other columns stay as they are."""
     schema = docs.schema
     scratch = Scratch(docs.sparkSession)
     marked = with_spans(docs, scratch).select(*[F.col(f"`{c}`") for c in docs.columns], "spans")

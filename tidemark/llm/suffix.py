@@ -60,7 +60,7 @@ def stretch_ends(text: np.ndarray) -> np.ndarray:
 
 
 class Queue:
-    """Tuples in buckets of known sizes. ``order`` is the order of the symbols: 1 upwards, -1 downwards."""
+    """Tuples in buckets of known sizes, taken in the order of the buckets."""
 
     def __init__(self, sizes: np.ndarray, budget: int):
         self.end = np.cumsum(sizes)
@@ -68,45 +68,49 @@ class Queue:
         self.head = self.start.copy()
         total = int(self.end[-1]) if len(sizes) else 0
         self.pos, self.lcp = room(total, np.int64, budget), room(total, np.int32, budget)
-        #: What is shared since the last arrival in a bucket; 0 unless it arrived in this epoch.
-        self.least, self.seen = np.zeros(len(sizes), np.int32), np.full(len(sizes), -1)
-        self.epoch = 0
-        self.touched: list[np.ndarray] = []
 
     def arrive(self, source_lcp: np.ndarray, at: np.ndarray, pos: np.ndarray, bucket: np.ndarray) -> None:
-        """Predecessors ``pos`` of the batch's tuples number ``at``, for ``bucket``; ``source_lcp`` is that of the whole batch."""
-        low = int(source_lcp.min())
-        if low == 0:
-            self.epoch += 1
-            stale, self.touched = self.touched, []
-        else:
-            stale = []
-        if len(at):
-            order = np.argsort(bucket, kind="stable")
-            at, pos, bucket = at[order], pos[order], bucket[order]
-            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            to = bucket[first]
-            shared = np.empty(len(at), np.int32)
-            inner = np.ones(len(at), bool)
-            inner[first] = False
-            inner = np.flatnonzero(inner)
-            shared[inner] = range_min(source_lcp, at[inner - 1] + 1, at[inner]) + 1
-            sofar = np.minimum.accumulate(source_lcp)[at[first]]
-            current = self.seen[to] >= self.epoch - (low == 0)
-            shared[first] = np.where(current, np.minimum(self.least[to], sofar), 0) + (self.head[to] > self.start[to])
-            bounds = np.append(first, len(at))
-            slot = np.arange(len(at)) - np.repeat(first, np.diff(bounds)) + np.repeat(self.head[to], np.diff(bounds))
-            self.pos[slot], self.lcp[slot] = pos, shared
-            self.head[to] += np.diff(bounds)
-        if low:
-            for x in self.touched:
-                self.least[x] = np.minimum(self.least[x], low)
-        if len(at):
-            rest = np.append(np.minimum.accumulate(source_lcp[::-1])[::-1], np.iinfo(np.int32).max)
-            self.least[to] = rest[at[bounds[1:] - 1] + 1]
-            self.seen[to] = self.epoch
-            self.touched.append(to)
-        del stale
+        """Predecessors ``pos`` of the batch's tuples number ``at``, for ``bucket``; ``source_lcp`` is that of the whole batch.
+
+        A batch starts with a bucket, whose first suffix shares nothing with
+        those before; so what comes first into a bucket from a batch shares
+        just its own symbol with the arrivals from earlier batches.
+        """
+        if not len(at):
+            return
+        order = np.argsort(bucket, kind="stable")
+        at, pos, bucket = at[order], pos[order], bucket[order]
+        head = np.ones(len(at), bool)
+        head[1:] = bucket[1:] != bucket[:-1]
+        first, inner = np.flatnonzero(head), np.flatnonzero(~head)
+        to = bucket[first]
+        shared = np.empty(len(at), np.int32)
+        shared[inner] = range_min(source_lcp, at[inner - 1] + 1, at[inner]) + 1
+        shared[first] = self.head[to] > self.start[to]
+        sizes = np.diff(first, append=len(at))
+        slot = np.arange(len(at)) + np.repeat(self.head[to] - first, sizes)
+        self.pos[slot], self.lcp[slot] = pos, shared
+        self.head[to] += sizes
+
+    def repeat(self, bucket: int, before: np.ndarray) -> None:
+        """Complete a bucket by the suffixes that put its symbol before those in it, once, twice, and so on.
+
+        ``before`` tells how often the symbol comes before each position.
+        Suffixes with one more of the symbol come after all with one less, in
+        the same order, and share one symbol more.
+        """
+        i, j, end = int(self.start[bucket]), int(self.head[bucket]), int(self.end[bucket])
+        base, base_lcp = self.pos[i:j], self.lcp[i:j]
+        times = before[base]
+        which = np.repeat(np.arange(j - i), times)
+        more = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + 1
+        order = np.argsort(more, kind="stable")
+        which, more = which[order], more[order]
+        shared = more.copy()
+        inner = np.flatnonzero(more[1:] == more[:-1]) + 1
+        shared[inner] += range_min(base_lcp, which[inner - 1] + 1, which[inner])
+        self.pos[j:end], self.lcp[j:end] = base[which] - more, shared
+        self.head[bucket] = end
 
     def ready(self, bucket: int) -> int:
         """The bucket after the last one, from ``bucket`` on, that has all its tuples, within the limits of a batch."""
@@ -118,6 +122,16 @@ class Queue:
         return bucket + n
 
 
+def merged(pos: np.ndarray, lcp: np.ndarray, bucket: np.ndarray, more: np.ndarray, more_lcp: np.ndarray, more_bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted batches as one, by bucket; in a bucket the first batch comes first."""
+    if not len(more):
+        return pos, lcp
+    if not len(pos):
+        return more, more_lcp
+    order = np.argsort(np.concatenate([bucket, more_bucket]), kind="stable")
+    return np.concatenate([pos, more])[order], np.concatenate([lcp, more_lcp])[order]
+
+
 class Inducer:
     def __init__(self, text: np.ndarray, alphabet: int, budget: int):
         self.text, self.alphabet, self.budget = text, alphabet, budget
@@ -125,6 +139,7 @@ class Inducer:
         end = stretch_ends(text)
         self.s_type = (text == 0) | (text[end] < np.append(text[1:], 0)[end])
         self.run = (end - np.arange(n) + 1).astype(np.int32)
+        self.before = np.arange(n) - (n - 1 - stretch_ends(text[::-1])[::-1])
         self.l_sizes = np.bincount(text[~self.s_type], minlength=alphabet)
         self.s_sizes = np.bincount(text[self.s_type & (text > 0)], minlength=alphabet)
 
@@ -132,82 +147,54 @@ class Inducer:
         """The L-type suffixes in order."""
         text, queue = self.text, Queue(self.l_sizes, self.budget)
         cut = np.searchsorted(text[seeds], np.arange(self.alphabet + 1))
-
-        def scan(pos: np.ndarray, lcp: np.ndarray) -> None:
-            before = pos - 1
-            at = np.flatnonzero((before >= 0) & ~self.s_type[before])
-            before = before[at]
-            queue.arrive(lcp, at, before, text[before])
-
-        c, done = 0, 0
+        c = 0
         while c < self.alphabet:
             to = queue.ready(c)
-            if to == c:  # tuples of this bucket wait for others of it: repeated symbols
-                i, done = done, int(queue.head[c])
-                scan(queue.pos[i:done], queue.lcp[i:done])
+            if to == c:
+                queue.repeat(c, self.before)
                 continue
-            i, j = max(done, int(queue.start[c])), int(queue.end[to - 1])
-            done = j
-            pos, lcp = queue.pos[i:j], queue.lcp[i:j]
-            a, b = cut[c], cut[to]
-            if a < b:
-                own, own_lcp = seeds[a:b], seed_lcp[a:b].copy()
-                symbol = text[own]
-                first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
-                at = symbol[first]
-                some = (queue.end[at] > queue.start[at]) & (at > 0)
-                border = np.zeros(len(first), np.int32)
-                border[some] = np.minimum(self.run[queue.pos[queue.end[at[some]] - 1]], self.run[own[first[some]]])
-                own_lcp[first] = border
-                if i < j:
-                    order = np.argsort(np.concatenate([text[pos], symbol]), kind="stable")
-                    pos, lcp = np.concatenate([pos, own])[order], np.concatenate([lcp, own_lcp])[order]
-                else:
-                    pos, lcp = own, own_lcp
-            if len(pos):
-                scan(pos, lcp)
+            i, j = int(queue.start[c]), int(queue.end[to - 1])
+            own = seeds[cut[c] : cut[to]]
+            own_lcp = seed_lcp[cut[c] : cut[to]].copy()
+            self.border(queue, own, own_lcp, text[own])
+            pos, lcp = merged(queue.pos[i:j], queue.lcp[i:j], text[queue.pos[i:j]], own, own_lcp, text[own])
+            before = pos - 1
+            at = np.flatnonzero((before >= 0) & ~self.s_type[before] & (text[before] != text[pos]))
+            before = before[at]
+            queue.arrive(lcp, at, before, text[before])
             c = to
         return queue
 
+    def border(self, queue: Queue, own: np.ndarray, own_lcp: np.ndarray, bucket: np.ndarray) -> None:
+        """What the first of each bucket's ``own`` suffixes shares with the last of the other type before it: the shorter run of the symbol."""
+        if not len(own):
+            return
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        at = bucket[first]
+        some = queue.end[at] > queue.start[at]
+        shared = np.zeros(len(first), np.int32)
+        shared[some] = np.minimum(self.run[queue.pos[queue.end[at[some]] - 1]], self.run[own[first[some]]])
+        own_lcp[first] = shared
+
     def climbing(self, low: Queue) -> Queue:
         """The S-type suffixes in falling order; bucket b of the queue is that of symbol alphabet - 1 - b."""
         text, top = self.text, self.alphabet - 1
         queue = Queue(self.s_sizes[::-1], self.budget)
-
-        def scan(pos: np.ndarray, lcp: np.ndarray) -> None:
-            before = pos - 1
-            ok = (before >= 0) & self.s_type[before] & (text[before] > 0)
-            at = np.flatnonzero(ok)
-            before = before[at]
-            queue.arrive(lcp, at, before, top - text[before])
-
-        c, done = 0, 0
+        c = 0
         while c < top:  # not symbol 0
             to = min(queue.ready(c), top)
             if to == c:
-                i, done = done, int(queue.head[c])
-                scan(queue.pos[i:done], queue.lcp[i:done])
+                queue.repeat(c, self.before)
                 continue
-            i, j = max(done, int(queue.start[c])), int(queue.end[to - 1])
-            done = j
-            pos, lcp = queue.pos[i:j], queue.lcp[i:j]
+            i, j = int(queue.start[c]), int(queue.end[to - 1])
             a, b = int(low.start[top - to + 1]), int(low.end[top - c])
-            if a < b:
-                own, own_lcp = low.pos[a:b][::-1], np.append(low.lcp[a:b], 0)[1:][::-1].astype(np.int32)
-                symbol = text[own]
-                first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
-                at = top - symbol[first]
-                some = queue.end[at] > queue.start[at]
-                border = np.zeros(len(first), np.int32)
-                border[some] = np.minimum(self.run[queue.pos[queue.end[at[some]] - 1]], self.run[own[first[some]]])
-                own_lcp[first] = border
-                if i < j:
-                    order = np.argsort(np.concatenate([top - text[pos], top - symbol]), kind="stable")
-                    pos, lcp = np.concatenate([pos, own])[order], np.concatenate([lcp, own_lcp])[order]
-                else:
-                    pos, lcp = own, own_lcp
-            if len(pos):
-                scan(pos, lcp)
+            own, own_lcp = low.pos[a:b][::-1], np.append(low.lcp[a:b], 0)[1:][::-1].astype(np.int32)
+            self.border(queue, own, own_lcp, top - text[own])
+            pos, lcp = merged(queue.pos[i:j], queue.lcp[i:j], top - text[queue.pos[i:j]], own, own_lcp, top - text[own])
+            before = pos - 1
+            at = np.flatnonzero((before >= 0) & self.s_type[before] & (text[before] > 0) & (text[before] != text[pos]))
+            before = before[at]
+            queue.arrive(lcp, at, before, top - text[before])
             c = to
         return queue
 
@@ -219,12 +206,7 @@ class Inducer:
         up = high.pos[::-1]
         up_lcp = np.append(high.lcp[1:], 0)[::-1].astype(np.int32)
         symbol = self.text[up]
-        first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1])) if n_high else np.empty(0, np.int64)
-        at = symbol[first]
-        some = self.l_sizes[at] > 0
-        border = np.zeros(len(first), np.int32)
-        border[some] = np.minimum(self.run[low.pos[low.end[at[some]] - 1]], self.run[up[first[some]]])
-        up_lcp[first] = border
+        self.border(low, up, up_lcp, symbol)
         sa, lcp = room(n_low + n_high, np.int64, self.budget), room(n_low + n_high, np.int32, self.budget)
         s_before = np.cumsum(self.s_sizes) - self.s_sizes
         here = np.arange(n_low) + s_before[self.text[low.pos]]
