@@ -31,7 +31,7 @@ def bucketed(df: DataFrame, order: str, keys: Sequence[str], buckets: int = BUCK
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], keys: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """``sums``: output name -> column, summed over all rows up to this one's value of ``order`` (distinct within the keys).
 
-    Also adds ``next``: the following value of ``order``.
+    Also adds ``next``: the following value of ``order``. An output replaces a column of its name.
     """
     df = bucketed(df, order, keys, buckets)
     by = [*keys, "bucket"]
@@ -43,7 +43,7 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], keys: Sequence
     out = df.withColumns({f"{n}__in": F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for n, c in sums.items()} | {"next__in": F.lead(order).over(inside)})
     joined = out.join(carry.withColumnsRenamed({k: f"{k}__c" for k in by}), _same(by), "left")
     final: dict[str, Column] = {n: F.col(f"{n}__in") + F.col(f"{n}__carry") for n in sums}
-    return joined.select(*df.drop("bucket").columns, *[v.alias(n) for n, v in final.items()], F.coalesce("next__in", "next__order").alias("next"))
+    return joined.select(*df.drop("bucket", *sums).columns, *[v.alias(n) for n, v in final.items()], F.coalesce("next__in", "next__order").alias("next"))
 
 
 def _same(names: Sequence[str]) -> Column:
