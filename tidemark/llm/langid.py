@@ -197,7 +197,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found.setdefault(lang, Counter()).update(text.lower().split())
     for lang, words in found.items():
-        yield pa.RecordBatch.from_pydict({"lang": [lang] * len(words), "word": list(words), "n": pa.array(list(words.values()), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(words), pa.string()), "word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
 
 def train(docs: DataFrame, may_learn: Column, docs_per_lang: int = DOCS_PER_LANG, calibration_per_lang: int = CALIBRATION_PER_LANG) -> LanguageModel | None:
