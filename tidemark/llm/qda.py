@@ -139,6 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int =
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(features, "label int, x array<double>").limit(2 * max_rows).toArrow()
     y = rows.column("label").to_numpy()
+    if not len(y):
+        return fit(np.zeros((0, 1)), np.zeros(0, np.int32))
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(y), -1)
     order = np.lexsort(np.column_stack([x, y]).T)  # the same model whatever the order of the rows
     return fit(x[order], y[order])
