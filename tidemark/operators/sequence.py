@@ -81,3 +81,251 @@ def combine_latest(left: DataFrame, right: DataFrame, time: str, value: str, key
     w = over(keys, time, *order, "__side").rowsBetween(Window.unboundedPreceding, 0)
     latest = both.withColumns({"left_value": F.last("__l", ignorenulls=True).over(w), "right_value": F.last("__r", ignorenulls=True).over(w)})
     return latest.filter("left_value is not null and right_value is not null").drop("__l", "__r", "__side")
+
+
+def _numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return df.withColumn("__n", F.row_number().over(over(keys, *order)))
+
+
+def _backwards(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).desc() for c in order]
+
+
+def take_last(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    return df.withColumn("__n", F.row_number().over(over(keys, *_backwards(order)))).filter(F.col("__n") <= n).drop("__n")
+
+
+def skip_last(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    return df.withColumn("__n", F.row_number().over(over(keys, *_backwards(order)))).filter(F.col("__n") > n).drop("__n")
+
+
+def element_at(df: DataFrame, i: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The row number ``i``, from 0; none if the sequence is shorter."""
+    return _numbered(df, order, keys).filter(F.col("__n") == i + 1).drop("__n")
+
+
+def first(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """First row of each key, without sorting: the least struct."""
+    return _extreme(df, F.min, order, keys)
+
+
+def last(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    return _extreme(df, F.max, order, keys)
+
+
+def _extreme(df: DataFrame, pick, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row"))
+    best = df.groupBy(*keys).agg(pick(row).alias("__best")).filter("__best is not null")
+    return best.select(*keys, "__best.row.*").select(*df.columns)
+
+
+def single(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The only row of each key; a key with more is an error."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(F.struct(*rest)).alias("__row")).filter("__n > 0")
+    checked = F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one row"))).otherwise(F.lit(0)).cast("int")
+    return one.withColumn("__check", checked).filter("__check = 0").select(*keys, "__row.*").select(*df.columns)
+
+
+def all_(df: DataFrame, condition: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """``all``: no row fails; true without rows."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_and(F.coalesce(condition, F.lit(False))), F.lit(True)).alias("all"))
+
+
+def any_(df: DataFrame, condition: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """``any``: a row holds (or there is one); false without rows."""
+    holds = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_or(holds), F.lit(False)).alias("any"))
+
+
+def contains(df: DataFrame, column: str, value, keys: Sequence[str] = ()) -> DataFrame:
+    return any_(df, F.col(column).eqNullSafe(F.lit(value)), keys).withColumnRenamed("any", "contains")
+
+
+def is_empty(df: DataFrame) -> DataFrame:
+    return any_(df).select((~F.col("any")).alias("is_empty"))
+
+
+def count(df: DataFrame, condition: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count_if(F.lit(True) if condition is None else condition).alias("count"))
+
+
+def min_by(df: DataFrame, by: str, keys: Sequence[str] = ()) -> DataFrame:
+    """All rows that have the least ``by`` of their key."""
+    return _all_extreme(df, F.min(by), by, keys)
+
+
+def max_by(df: DataFrame, by: str, keys: Sequence[str] = ()) -> DataFrame:
+    return _all_extreme(df, F.max(by), by, keys)
+
+
+def _all_extreme(df: DataFrame, best: Column, by: str, keys: Sequence[str]) -> DataFrame:
+    bests = df.groupBy(*keys).agg(best.alias("__best")).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__best")
+    cond = F.col(by) == F.col("__best")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(bests, cond, "left_semi")
+
+
+def distinct_by(df: DataFrame, by: Sequence[str], order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The first row of each value of ``by``."""
+    return first(df, order, [*keys, *by])
+
+
+def default_if_empty(df: DataFrame, **values) -> DataFrame:
+    """The rows, or one row of ``values`` (null where not given) if there are none."""
+    spark = df.sparkSession
+    one = spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    some = df.limit(1).select(F.lit(1).alias("__some"))
+    return df.union(one.join(some, F.lit(True), "left_anti"))
+
+
+def concat(df: DataFrame, *others: DataFrame, part: str = "part") -> DataFrame:
+    """One sequence after the other; ``part`` goes before the order of the rows."""
+    out = df.withColumn(part, F.lit(0))
+    for i, o in enumerate(others, 1):
+        out = out.unionByName(o.withColumn(part, F.lit(i)))
+    return out
+
+
+def append(df: DataFrame, part: str = "part", **values) -> DataFrame:
+    one = df.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return concat(df, one, part=part)
+
+
+def prepend(df: DataFrame, part: str = "part", **values) -> DataFrame:
+    return append(df, part, **values).withColumn(part, -F.col(part))
+
+
+def repeat(df: DataFrame, n: int, part: str = "part") -> DataFrame:
+    """The sequence ``n`` times."""
+    return df.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else df.withColumn(part, F.lit(0)).filter("false")
+
+
+def reverse(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn(order, -F.col(order))
+
+
+def sequence_equal(left: DataFrame, right: DataFrame, value: str, order: Sequence[str]) -> DataFrame:
+    """``equal``: both have the same values in the same order."""
+    a, b = (_numbered(d, order, ()).select("__n", F.struct(F.col(value).alias("v")).alias(n)) for d, n in ((left, "a"), (right, "b")))
+    return a.join(b, "__n", "full").agg(F.coalesce(F.bool_and(F.col("a").eqNullSafe(F.col("b"))), F.lit(True)).alias("equal"))
+
+
+def sliding_buffer(df: DataFrame, value: str, size: int, step: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Lists of ``size`` values that start every ``step`` rows; those at the end are shorter."""
+    w = over(keys, *order).rowsBetween(0, size - 1)
+    item = F.struct(F.col(value).alias("v"))
+    out = _numbered(df, order, keys).withColumn("__items", F.collect_list(item).over(w)).filter((F.col("__n") - 1) % step == 0)
+    return out.select(*keys, F.floor((F.col("__n") - 1) / step).alias("buffer"), F.transform("__items", lambda s: s["v"]).alias("items"))
+
+
+def time_buffer(df: DataFrame, value: str, span: int, time: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Lists of the values of each ``span`` of time, in order."""
+    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([time, *order])], F.col(value).alias("v"))
+    out = df.groupBy(*keys, F.floor(F.col(time) / span).alias("buffer")).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    return out.select(*keys, "buffer", F.transform("__items", lambda s: s["v"]).alias("items"))
+
+
+def sample(df: DataFrame, span: int, time: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The last row of each ``span`` of time."""
+    return last(df.withColumn("__span", F.floor(F.col(time) / span)), [time, *order], [*keys, "__span"]).drop("__span")
+
+
+def delay(df: DataFrame, by: int, time: str) -> DataFrame:
+    return df.withColumn(time, F.col(time) + by)
+
+
+def time_interval(df: DataFrame, time: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``interval``: the time since the row before; null for the first."""
+    return df.withColumn("interval", F.col(time) - F.lag(time).over(over(keys, time, *order)))
+
+
+def timeout(df: DataFrame, limit: int, time: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows before the first gap of more than ``limit``, where the sequence times out."""
+    gap = F.max(F.coalesce(F.col("interval") > limit, F.lit(False)).cast("int")).over(over(keys, time, *order).rowsBetween(Window.unboundedPreceding, 0))
+    return time_interval(df, time, order, keys).withColumn("__gap", gap).filter("__gap = 0").drop("__gap", "interval")
+
+
+def take_until(df: DataFrame, condition: Column, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows up to the first that holds, which is kept."""
+    before = F.max(F.coalesce(condition, F.lit(False)).cast("int")).over(over(keys, *order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("__f", F.coalesce(before, F.lit(0))).filter("__f = 0").drop("__f")
+
+
+def skip_until(df: DataFrame, other: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows after the first of ``other``."""
+    return _against_first(df, other, time, keys).filter(F.col(time) > F.col("__first")).drop("__first")
+
+
+def take_until_other(df: DataFrame, other: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows before the first of ``other``."""
+    return _against_first(df, other, time, keys).filter(F.col("__first").isNull() | (F.col(time) < F.col("__first"))).drop("__first")
+
+
+def _against_first(df: DataFrame, other: DataFrame, time: str, keys: Sequence[str]) -> DataFrame:
+    firsts = other.groupBy(*keys).agg(F.min(time).alias("__first")).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__first")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(firsts, cond, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def with_latest_from(left: DataFrame, right: DataFrame, time: str, value: str, keys: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """Each row of ``left`` with the latest ``right_value`` at it; rows before the first are left out."""
+    both = left.withColumn("__side", F.lit(1)).unionByName(right.select(*{time: 0, **dict.fromkeys(keys, 0), **dict.fromkeys(order, 0)}, F.struct(F.col(value).alias("v")).alias("__r")).withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    w = over(keys, time, "__side", *order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("__latest", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1 and __latest is not null").select(*left.columns, F.col("__latest.v").alias("right_value"))
+
+
+def merge(df: DataFrame, *others: DataFrame) -> DataFrame:
+    for o in others:
+        df = df.unionByName(o)
+    return df
+
+
+def switch(df: DataFrame, source: str, time: str, order: Sequence[str]) -> DataFrame:
+    """Rows of the source that began last: once a source has begun, those that began before it end."""
+    begun = df.groupBy(source).agg(F.min(F.struct(F.col(time), *order)).alias("__begin"))
+    ends = begun.withColumn("__end", F.lead("__begin").over(Window.orderBy("__begin"))).drop("__begin").withColumnRenamed(source, "__source")
+    at = F.struct(F.col(time), *order)
+    return df.join(ends, F.col(source).eqNullSafe(F.col("__source"))).filter(F.col("__end").isNull() | (at < F.col("__end"))).drop("__source", "__end")
+
+
+def amb(df: DataFrame, source: str, time: str, order: Sequence[str]) -> DataFrame:
+    """Rows of the source that has the first row of all."""
+    winner = df.agg(F.min_by(F.struct(source), F.struct(F.col(time), *order)).alias("__w")).select(F.col(f"__w.{source}").alias("__source"))
+    return df.join(F.broadcast(winner), F.col(source).eqNullSafe(F.col("__source")), "left_semi")
+
+
+def group_join(left: DataFrame, right: DataFrame, by: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Each row of ``left`` with aggregates of all rows of ``right`` that have its key; the right is reduced before the join."""
+    return left.join(right.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()]), list(by), "left")
+
+
+def materialize(df: DataFrame, order: str) -> DataFrame:
+    """Rows as notifications ``next``, and ``completed`` at the end."""
+    nexts = df.select(F.lit("next").alias("kind"), F.col(order).cast("long").alias("ord"), F.struct(*df.columns).alias("value"))
+    value = nexts.schema["value"].dataType
+    end = df.agg((F.coalesce(F.max(order), F.lit(-1)) + 1).cast("long").alias("ord")).select(F.lit("completed").alias("kind"), "ord", F.lit(None).cast(value).alias("value"))
+    return nexts.union(end)
+
+
+def dematerialize(df: DataFrame) -> DataFrame:
+    """Rows of the notifications before the first that ends the sequence."""
+    end = df.filter("kind <> 'next'").agg(F.min("ord").alias("__end"))
+    return df.join(F.broadcast(end), F.lit(True)).filter("kind = 'next' and (__end is null or ord < __end)").select("value.*")
+
+
+def ignore_elements(df: DataFrame) -> DataFrame:
+    return df.filter("false")
+
+
+def expand(df: DataFrame, step, depth: int, level: str = "level") -> DataFrame:
+    """The rows, what ``step`` makes of them, what it makes of that, and so on for ``depth`` levels."""
+    out = now = df.withColumn(level, F.lit(0))
+    for i in range(1, depth + 1):
+        now = step(now.drop(level)).withColumn(level, F.lit(i))
+        out = out.unionByName(now)
+    return out
