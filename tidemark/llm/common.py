@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Distinct words a worker remembers before it starts afresh.
 MEMO_WORDS = 300_000
+#: Spark's switch for removing a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +48,18 @@ class Scratch:
         self.n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        """Write and read again; the shuffle files of the write go at its end, as nothing reads them again."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
