@@ -1,18 +1,29 @@
-"""One document of each group of near copies, by SimHash and BK-trees.
-
-Near copies share 0.8 or more of their five-word shingles (Jaccard). Their
-candidates come from SimHash fingerprints over their distinct words: a few
-changed words hardly move these, while other documents differ in 13 bits or
-more of 64. Fingerprints are dealt to shards by samples of their bits, ``TABLES``
-times over; a shard is a BK-tree that each of its points searches within
-``RADIUS`` bits. A point's candidates are its nearest neighbour and the one
-with the smallest document, in each shard, and the documents of its own
-fingerprint; so a large group costs a few candidates a document, not all
-pairs. The candidates' shingles are then compared exactly, and groups are the
-components of the pairs that pass. The document with the smallest doc_id stays.
-
-The sample of bits grows with the logarithm of the number of points. A pair d
-bits apart meets in a table with a chance of (1 - d/64) ** bits.
+"""One document of each group of near copies, by SimHash, BK-trees and shingle prefixes.
+
+Near copies share 0.8 or more of their five-word shingles (Jaccard). Two steps
+find their pairs, and each pair is compared exactly on its shingles; groups are
+the components of the pairs that pass. The document with the smallest doc_id
+stays.
+
+The first step finds most links at a few candidates a document. SimHash
+fingerprints over distinct words are dealt to shards by samples of their bits,
+``TABLES`` times over; a shard is a BK-tree that each of its points searches
+within ``RADIUS`` bits. A point's candidates are its nearest neighbour and the
+one with the smallest document, in each shard, and the first document of its
+own fingerprint. This step alone misses pairs.
+
+The second step misses none. Under one order of all shingles, rare before
+common, two sets of similarity t share a shingle among the first
+n - ceil(t n) + 1 of each. So all pairs that share such a shingle are
+candidates, but for those whose sizes or places in the order exclude t, and
+those that verified links have joined already. In each list of documents of a
+shingle, all are compared with the document whose shingles are shared the most,
+often the original of the copies; then every pair that is still not joined is
+compared. On a group with verified links this is far less than all pairs; many
+documents that share rare shingles without being similar cost all their pairs.
+
+The sample of bits grows with the logarithm of the number of points. The order
+only decides the cost: common shingles come from a sample of the documents.
 
 Defined cases: texts that are equal up to white space and the case of A-Z are
 copies, texts without words included; a null doc_id is never dropped nor does
@@ -38,6 +49,10 @@ WORDS, SIMILARITY = 5, 0.8
 TABLES, RADIUS = 28, 10
 #: Candidate pairs of one document above which its side of the join is salted.
 BUSY, SALTS = 256, 16
+#: Documents sampled for the order of shingles (or one of SAMPLE_SHARE), times a common shingle is seen there, and common shingles at most.
+SAMPLE, SAMPLE_SHARE, COMMON, MAX_COMMON = 20_000, 16, 4, 200_000
+#: Pairs that a list step holds before it hands them on.
+PAIRS = 1 << 20
 
 
 def printer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,11 +75,11 @@ def printer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingles(words: int):
-    """Sorted distinct 32-bit shingle hashes of each text, as bytes."""
+    """Sorted distinct shingle hashes of each text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            rows = [np.unique(np.array(shingle_hashes(t, words), np.uint64).astype(np.uint32)).tobytes() for t in utf8(batch)]
+            rows = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in utf8(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "shingles"])
 
     return run
@@ -75,7 +90,7 @@ def similar(least: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(both >= least * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -132,14 +147,18 @@ def candidates(radius: int):
     return run
 
 
-def near_pairs(docs: DataFrame, prints: DataFrame, scratch: Scratch, words: int, similarity: float, tables: int, radius: int) -> DataFrame:
-    """Pairs (a, b) of documents of ``prints`` (doc_id, print), distinct texts, whose shingles are similar."""
+def near_pairs(prints: DataFrame, scratch: Scratch, tables: int, radius: int) -> DataFrame:
+    """Pairs (a, b) of documents of ``prints`` (doc_id, print), distinct texts, that the fingerprints suggest."""
     points = scratch.save(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
     masks = samples(points.count(), tables)
     keys = F.explode(F.array([F.struct(F.lit(i).alias("table"), F.col("print").bitwiseAND(F.lit(signed(m))).alias("value")) for i, m in enumerate(masks)]))
     dealt = points.select("print", "first", keys.alias("k")).select("k.table", "k.value", "print", "first").repartition("table", "value")
     same = prints.join(points, "print").filter("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    pairs = scratch.save(dealt.mapInArrow(candidates(radius), "a long, b long").union(same).distinct())
+    return scratch.save(dealt.mapInArrow(candidates(radius), "a long, b long").union(same).distinct())
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose documents' shingles are similar."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # A repeated doc_id has the shingles of its smallest text.
     sets = scratch.save(docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(shingles(words), "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
@@ -153,6 +172,129 @@ def near_pairs(docs: DataFrame, prints: DataFrame, scratch: Scratch, words: int,
     return left.join(y, "b").join(x, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(similar(similarity), "a long, b long")
 
 
+def set_prefixes(words: int, similarity: float, common: np.ndarray):
+    """The first shingles of each text, of which similar texts share one: shingle, doc_id, root, size of the set, place in the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            firsts, sizes = [], []
+            for t in utf8(batch):
+                whole = np.unique(np.array(shingle_hashes(t, words), np.uint64))
+                late = common[np.minimum(np.searchsorted(common, whole), len(common) - 1)] == whole if len(common) else np.zeros(len(whole), bool)
+                n = len(whole)
+                firsts.append(np.concatenate([whole[~late], whole[late]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0])
+                sizes.append(n)
+            lengths = np.fromiter(map(len, firsts), np.int64, len(firsts))
+            total = int(lengths.sum())
+            places = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            ids, roots = (np.repeat(batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False), lengths) for c in ("doc_id", "root"))
+            shingle = np.concatenate([*firsts, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, ids, roots, np.repeat(np.array(sizes, np.int32), lengths), places.astype(np.int32))], names=["shingle", "doc_id", "root", "size", "place"])
+
+    return run
+
+
+def posting_lists(batches: Iterator[pa.RecordBatch], ranks: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns of a task's whole lists, by shingle and ``ranks``, without lists under one root; the end of each row's list."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return {}, np.empty(0, np.int64)
+    table = pa.Table.from_batches(rows)
+    held = {c: table.column(c).to_numpy() for c in table.column_names}
+    order = np.argsort(held["shingle"], kind="stable")
+    held = {c: x[order] for c, x in held.items()}
+    starts = np.flatnonzero(np.concatenate([[True], held["shingle"][1:] != held["shingle"][:-1]]))
+    lengths = np.diff(np.concatenate([starts, [len(order)]]))
+    mixed = np.repeat(np.minimum.reduceat(held["root"], starts) != np.maximum.reduceat(held["root"], starts), lengths)
+    held = {c: x[mixed] for c, x in held.items()}
+    order = np.lexsort([*(held[c] for c in reversed(ranks)), held["shingle"]])
+    held = {c: x[order] for c, x in held.items()}
+    return held, np.searchsorted(held["shingle"], held["shingle"], "right")
+
+
+def mixed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tasks hold whole lists: the rows of those whose documents have several roots."""
+    held, _ = posting_lists(batches, ["doc_id"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.values()], names=list(held))
+
+
+def possible(held: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows i and j of a list have several roots and could reach the similarity if their shingle is the first that they share."""
+    m, n = held["size"][i].astype(np.int64), held["size"][j].astype(np.int64)
+    most = np.minimum(m - held["place"][i], n - held["place"][j])
+    return (held["root"][i] != held["root"][j]) & (held["doc_id"][i] != held["doc_id"][j]) & (most + 1e-6 >= similarity * (m + n - most))
+
+
+def hub_pairs(similarity: float):
+    """Tasks hold whole lists: pairs of the document that shares the largest part of its shingles with each other one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ends = posting_lists(batches, ["alone", "doc_id"])
+        if len(ends):
+            j = np.arange(len(ends))
+            i = np.searchsorted(held["shingle"], held["shingle"], "left")
+            yield from pair_batch(held, i, j, similarity)
+
+    return run
+
+
+def all_pairs(similarity: float):
+    """Tasks hold whole lists: all pairs of several roots, a slice at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ends = posting_lists(batches, ["size", "doc_id"])
+        for start in range(0, len(ends), PAIRS):
+            i = np.arange(start, min(start + PAIRS, len(ends)))
+            step = 1
+            # Sizes rise along a list: beyond the first row that is too large, all are.
+            while len(i := i[i + step < ends[i]]) and len(i := i[held["size"][i] + 1e-6 >= similarity * held["size"][i + step]]):
+                yield from pair_batch(held, i, i + step, similarity)
+                step += 1
+
+    return run
+
+
+def pair_batch(held: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    good = possible(held, i, j, similarity)
+    if good.any():
+        a, b = np.unique(np.sort(np.stack([held["doc_id"][i[good]], held["doc_id"][j[good]]]), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def common_shingles(texts: DataFrame, n_texts: int, words: int) -> np.ndarray:
+    """Shingles that a sample of the texts holds often, a bounded number; sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            found = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in utf8(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    share = max(1, min(SAMPLE_SHARE, n_texts // SAMPLE))
+    counted = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").count()
+    rows = counted.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MAX_COMMON).select("shingle").toArrow()
+    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, words: int, similarity: float, tables: int, radius: int) -> DataFrame:
+    """Pairs (a, b) of documents of ``prints`` (doc_id, print), distinct texts, that join all similar ones."""
+    links = scratch.save(similar_pairs(near_pairs(prints, scratch, tables, radius), docs, scratch, words, similarity))
+    groups = connected_components(links, scratch)
+    rooted = prints.select("doc_id").distinct().join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+    texts = scratch.save(docs.select("doc_id", "text").join(rooted, "doc_id"))
+    lists = "shingle long, doc_id long, root long, size int, place int"
+    firsts = texts.mapInArrow(set_prefixes(words, similarity, common_shingles(texts, texts.count(), words)), lists)
+    mixed = scratch.save(firsts.repartition("shingle").mapInArrow(mixed_lists, lists))
+    # The part of a document's first shingles that no other group shares, in thousandths.
+    alone = mixed.groupBy("doc_id").agg((1000 - F.count(F.lit(1)) * 1000 / F.max(F.col("size"))).cast("int").alias("alone"))
+    hubs = scratch.save(mixed.join(alone, "doc_id").repartition("shingle").mapInArrow(hub_pairs(similarity), "a long, b long").distinct())
+    links = scratch.save(links.union(similar_pairs(hubs, texts, scratch, words, similarity)))
+    groups = connected_components(links, scratch)
+    left = mixed.drop("root").join(groups, F.col("doc_id") == F.col("node"), "left").select("shingle", "doc_id", F.coalesce("root", "doc_id").alias("root"), "size", "place")
+    rest = scratch.save(left.repartition("shingle").mapInArrow(all_pairs(similarity), "a long, b long").distinct())
+    return scratch.save(links.union(similar_pairs(rest, texts, scratch, words, similarity)))
+
+
 def dropped(docs: DataFrame, scratch: Scratch, words: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, radius: int = RADIUS) -> DataFrame:
     """doc_id of every document that has a copy or a near copy of smaller doc_id in its group."""
     rows = scratch.save(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(printer, "doc_id long, digest binary, print long"))
@@ -160,7 +302,7 @@ def dropped(docs: DataFrame, scratch: Scratch, words: int = WORDS, similarity: f
     # Documents whose text is a copy; only texts of several documents take part, salted as one may be that of a third of all.
     many = texts.filter("copies > 1").select("digest", F.col("doc_id").alias("owner"), F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("salt"))
     copies = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(many, ["digest", "salt"]).filter("doc_id > owner").select("doc_id")
-    pairs = near_pairs(docs, texts.select("doc_id", "print"), scratch, words, similarity, tables, radius)
+    pairs = similar_links(docs, texts.select("doc_id", "print"), scratch, words, similarity, tables, radius)
     groups = connected_components(pairs, scratch)
     return copies.union(groups.filter("node <> root").select(F.col("node").alias("doc_id"))).distinct()
 
