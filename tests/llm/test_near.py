@@ -33,3 +33,9 @@ def test_copies_of_one_original(spark):
     texts = edited(ORIGINAL, 150, 5, 0)
     assert one_of_each(texts) == {0}
     assert kept(spark, texts) == {0}
+
+
+def test_copies_of_an_original_in_their_middle(spark):
+    texts = edited(ORIGINAL, 150, 5, 75)
+    assert one_of_each(texts) == {0}
+    assert kept(spark, texts) == {0}
