@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from test_whole import one_of_each
 
 from tidemark.llm import neardup
@@ -39,3 +40,20 @@ def test_copies_of_an_original_in_their_middle(spark):
     texts = edited(ORIGINAL, 150, 5, 75)
     assert one_of_each(texts) == {0}
     assert kept(spark, texts) == {0}
+
+
+@pytest.mark.parametrize("block", [False, True])
+def test_tails_and_blocks(spark, block):
+    """Zipf texts, each with a copy that has a tail more or a block replaced, so that many lie beyond the radius."""
+    draw = random.Random(8)
+    words, weights = [f"z{i}" for i in range(5000)], [1 / (i + 1) for i in range(5000)]
+    texts = {}
+    for k in range(300):
+        text = draw.choices(words, weights, k=400)
+        more = draw.choices(words, weights, k=draw.randint(20, 85))
+        n = len(more) // 2
+        texts[2 * k] = " ".join(text)
+        texts[2 * k + 1] = " ".join([*text[:100], *more[:n], *text[100 + n :]] if block else [*text, *more])
+    want = one_of_each(texts)
+    assert 300 <= len(want) < 450
+    assert kept(spark, texts) == want
