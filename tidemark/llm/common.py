@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,13 +12,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Distinct words a worker remembers before it starts afresh.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
+#: New words whose figures are worked out at a time.
+FRESH_WORDS = 1 << 14
+#: Bytes of a row group of a scratch table: a writer holds one in memory for each task.
+ROW_GROUP = 16 << 20
 #: Spark's switch for removing a query's shuffle files when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -25,12 +33,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one of our own only where none is set."""
+    """The folder that the cluster shares for checkpoints; a temporary one only in a single local JVM where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             return jvm.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -40,6 +50,7 @@ class Scratch:
     """Written tables in the shared folder that cut lineage between the steps of one operator.
 
     A lost executor costs a re-read of the last table, not a re-run of the job.
+    What no step drops goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -54,23 +65,28 @@ class Scratch:
         before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(SHUFFLE_CLEANUP)
             else:
                 self.spark.conf.set(SHUFFLE_CLEANUP, before)
+        if self.n == 1:
+            self.file_system(self.root).deleteOnExit(self.hadoop_path(self.root))
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads, and let Spark clean the shuffles behind them."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self.file_system(t.scratch_path).delete(self.hadoop_path(t.scratch_path), True)
+
+    def hadoop_path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def file_system(self, path: str):
+        return self.hadoop_path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def release(self) -> None:
         """Shuffle files go once the driver's JVM collects the plans that made them."""
@@ -85,8 +101,16 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker outlives its task, and the next one may need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``max_bytes`` of ``column`` each, one row at least."""
+    release_memory()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -133,19 +157,31 @@ class Memo(dict):
         out = np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
         if self.new:
             fresh, self.new = self.new, []
-            for name, values in self.figures(fresh).items():
-                values = np.asarray(values)
-                have = self.columns.get(name)
-                need = self.size + len(fresh)
-                if have is None or len(have) < need:
-                    grown = np.empty((max(need, 2 * self.size, 4096), *values.shape[1:]), values.dtype)
-                    if have is not None:
-                        grown[: self.size] = have[: self.size]
-                    self.columns[name] = have = grown
-                have[self.size : need] = values
-            self.size += len(fresh)
+            for at in range(0, len(fresh), FRESH_WORDS):
+                self.extend(fresh[at : at + FRESH_WORDS])
         return out
 
+    def extend(self, fresh: list) -> None:
+        for name, values in self.figures(fresh).items():
+            values = np.asarray(values)
+            have = self.columns.get(name)
+            need = self.size + len(fresh)
+            if have is None or len(have) < need:
+                grown = np.empty((max(need, self.size * 3 // 2, 4096), *values.shape[1:]), values.dtype)
+                if have is not None:
+                    grown[: self.size] = have[: self.size]
+                self.columns[name] = have = grown
+            have[self.size : need] = values
+        self.size += len(fresh)
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it differ from all columns of ``df`` (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
 
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive segments of the given lengths (which may be 0)."""
@@ -154,6 +190,16 @@ def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
+def shrink(values: np.ndarray) -> bytes:
+    """Compressed by byte planes."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def grow(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix of unsigned integers."""
     with np.errstate(over="ignore"):

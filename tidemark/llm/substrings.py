@@ -36,11 +36,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, chunks, utf8
+from tidemark.llm.common import Scratch, chunks, grow, own_name, shrink, utf8
 from tidemark.llm.suffix import suffix_lcp
 
 #: Length of the strings that count, and of the k-grams that anchor them.
@@ -48,11 +47,11 @@ LENGTH, GRAM = 50, 18
 #: Bytes around an anchor that two windows around it share on one side at least.
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes of text that a bucket of anchors and a shard of pieces stand for.
-BUCKET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Parts that a shard is made of, so that shards are of even sizes.
 PARTS = 16
 #: Anchors that a task gathers before it sends them.
-ANCHORS_AT_ONCE = 1_500_000
+ANCHORS_AT_ONCE = 400_000
 SALTS = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 KEEP = np.uint64(16)
@@ -117,16 +116,6 @@ def piece_hashes(data: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np
         return (out ^ (out >> np.uint64(29))) >> KEEP
 
 
-def shrink(values: np.ndarray) -> bytes:
-    """Compressed by byte planes."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
-
-
-def grow(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 ENTRY = (("hash", np.uint64), ("piece", np.uint64), ("doc", np.int64), ("text", np.int64), ("start", np.uint32), ("windows", np.uint32))
 ENTRIES = "bucket int, known boolean, " + ", ".join(f"{n} binary" for n, _ in ENTRY)
 
@@ -165,11 +154,13 @@ def anchor_sender(buckets: int):
         def send() -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
             h, piece, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
             doc, text = np.array(docs, np.int64)[owner], np.array(prints, np.int64)[owner]
             order, lead, _ = leaders(h, piece, doc)
             cols = [x[order] for x in (h, piece, doc, text, start, windows)]
+            del owner, h, piece, start, windows, doc, text, order
             # A smaller document here holds the same piece: all its windows are repeated. The smallest goes on.
-            yield from entry_rows([x[~lead] for x in cols], (cols[4] + cols[2])[~lead] % buckets, True)
+            yield from entry_rows([x[~lead] for x in cols], (cols[2][~lead] + cols[4][~lead]) % buckets, True)
             yield from entry_rows([x[lead] for x in cols], (cols[0][lead] % np.uint64(buckets)).astype(np.int64), False)
 
         for batch in chunks(batches):
@@ -185,8 +176,8 @@ def anchor_sender(buckets: int):
                 prints.append(text_print(text))
                 data = np.frombuffer(text, np.uint8)
                 h, start, windows = pieces_of(data)
-                found.append((h, piece_hashes(data, start, windows), start, windows))
-                held += len(found[-1][0])
+                found.append((h, piece_hashes(data, start, windows), start.astype(np.uint32), windows.astype(np.uint32)))
+                held += len(h)
             if held > ANCHORS_AT_ONCE:
                 yield from send()
                 found, docs, texts, prints, held = [], [], {}, [], 0
@@ -353,10 +344,11 @@ def repeated_windows(pieces: pa.BinaryArray, least: np.ndarray) -> tuple[np.ndar
     data, lengths = flat(pieces)
     total = len(data) + len(lengths)
     begin = np.cumsum(lengths + 1) - (lengths + 1)
-    text = np.zeros(total, np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
-    inside = np.arange(total) - begin[owner]
-    text[inside < lengths[owner]] = data.astype(np.int64) + 1
+    text = np.zeros(total, np.int32)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+    inside = np.arange(total, dtype=np.int32) - begin.astype(np.int32)[owner]
+    text[inside < lengths[owner]] = data
+    text[inside < lengths[owner]] += 1
     suffixes, lcp = suffix_lcp(text, 257)
     run = np.cumsum(lcp < LENGTH)
     of = owner[suffixes]
@@ -405,13 +397,14 @@ def keep_column(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatc
 
 
 def cleaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The kept text in place of the text; bytes of a character cut in two are dropped."""
+    """The kept text in place of the text; bytes of a character cut in two are dropped. The last column has the spans."""
     for batch in chunks(batches):
-        texts = [None if t is None else remove(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        name = batch.schema.names[-1]
+        texts = [None if t is None else remove(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True)]
         batch = keep_column(batch, "text", texts)
         if "n_chars" in batch.schema.names:
             batch = keep_column(batch, "n_chars", [None if t is None else len(t) for t in texts])
-        yield batch.drop_columns(["spans"])
+        yield batch.drop_columns([name])
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -445,20 +438,21 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return spans.groupBy("doc_id", "text_print").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    spans = repeated_spans(docs, scratch).withColumnRenamed("doc_id", "span_doc").withColumnRenamed("text_print", "span_print")
-    return docs.join(spans, (F.col("doc_id") == F.col("span_doc")) & (F.xxhash64("text") == F.col("span_print")), "left").drop("span_doc", "span_print")
+def with_spans(docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The documents with their repeated windows as column ``name``, a name that they don't have."""
+    doc, text_print = own_name(docs, "span_doc"), own_name(docs, "span_print")
+    spans = repeated_spans(docs, scratch).select(F.col("doc_id").alias(doc), F.col("text_print").alias(text_print), F.col("spans").alias(name))
+    return docs.join(spans, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text_print)), "left").drop(doc, text_print)
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs, and the digest of what is kept."""
     scratch = Scratch(docs.sparkSession)
-    return with_spans(docs.select("doc_id", "text"), scratch).select("doc_id", "text", "spans").mapInArrow(digester, RESULT)
+    return with_spans(docs.select("doc_id", "text"), scratch, "spans").select("doc_id", "text", "spans").mapInArrow(digester, RESULT)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages removed from their text (and n_chars, if there is one, to match); other columns stay as they are."""
-    schema = docs.schema
-    scratch = Scratch(docs.sparkSession)
-    marked = with_spans(docs, scratch).select(*[F.col(f"`{c}`") for c in docs.columns], "spans")
-    return marked.mapInArrow(cleaner, schema)
+    name = own_name(docs, "spans")
+    marked = with_spans(docs, Scratch(docs.sparkSession), name).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{name}`"))
+    return marked.mapInArrow(cleaner, docs.schema)
