@@ -55,7 +55,8 @@ def range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
 def stretch_ends(text: np.ndarray) -> np.ndarray:
     """Last position of the run of equal symbols that each position is in."""
     n = len(text)
-    end = np.where(np.append(text[:-1] != text[1:], True), np.arange(n), n)
+    end = np.arange(n, dtype=np.int32)
+    end[:-1][text[:-1] == text[1:]] = n
     return np.minimum.accumulate(end[::-1])[::-1]
 
 
@@ -67,7 +68,7 @@ class Queue:
         self.start = self.end - sizes
         self.head = self.start.copy()
         total = int(self.end[-1]) if len(sizes) else 0
-        self.pos, self.lcp = room(total, np.int64, budget), room(total, np.int32, budget)
+        self.pos, self.lcp = room(total, np.int32, budget), room(total, np.int32, budget)
 
     def arrive(self, source_lcp: np.ndarray, at: np.ndarray, pos: np.ndarray, bucket: np.ndarray) -> None:
         """Predecessors ``pos`` of the batch's tuples number ``at``, for ``bucket``; ``source_lcp`` is that of the whole batch.
@@ -137,9 +138,11 @@ class Inducer:
         self.text, self.alphabet, self.budget = text, alphabet, budget
         n = len(text)
         end = stretch_ends(text)
-        self.s_type = (text == 0) | (text[end] < np.append(text[1:], 0)[end])
-        self.run = (end - np.arange(n) + 1).astype(np.int32)
-        self.before = np.arange(n) - (n - 1 - stretch_ends(text[::-1])[::-1])
+        self.s_type = (text == 0) | (text < np.append(text[1:], text.dtype.type(0))[end])
+        self.run = end
+        self.run -= np.arange(-1, n - 1, dtype=np.int32)
+        self.before = stretch_ends(text[::-1])[::-1]
+        self.before += np.arange(1 - n, 1, dtype=np.int32)
         self.l_sizes = np.bincount(text[~self.s_type], minlength=alphabet)
         self.s_sizes = np.bincount(text[self.s_type & (text > 0)], minlength=alphabet)
 
@@ -207,7 +210,7 @@ class Inducer:
         up_lcp = np.append(high.lcp[1:], 0)[::-1].astype(np.int32)
         symbol = self.text[up]
         self.border(low, up, up_lcp, symbol)
-        sa, lcp = room(n_low + n_high, np.int64, self.budget), room(n_low + n_high, np.int32, self.budget)
+        sa, lcp = room(n_low + n_high, np.int32, self.budget), room(n_low + n_high, np.int32, self.budget)
         s_before = np.cumsum(self.s_sizes) - self.s_sizes
         here = np.arange(n_low) + s_before[self.text[low.pos]]
         sa[here], lcp[here] = low.pos, low.lcp
@@ -221,7 +224,7 @@ def suffix_lcp(text: np.ndarray, alphabet: int, budget: int = BUDGET) -> tuple[n
 
     Symbols are below ``alphabet``; suffixes that are equal up to their 0 come in any order.
     """
-    text = np.asarray(text, np.int64)
+    text = np.asarray(text, np.int32)
     work = Inducer(text, alphabet, budget)
     s = work.s_type
     is_lms = (text == 0) | (s & np.append(False, ~s[:-1]))
@@ -230,12 +233,12 @@ def suffix_lcp(text: np.ndarray, alphabet: int, budget: int = BUDGET) -> tuple[n
     rough, _ = work.induce(seeds, np.zeros(len(seeds), np.int32))
     zeros = lms[text[lms] == 0]
     rough = np.concatenate([zeros, rough[is_lms[rough]]])  # LMS suffixes by their stretches
-    rank = np.full(len(text), -1)
-    rank[lms] = np.arange(len(lms))
+    rank = np.full(len(text), -1, np.int32)
+    rank[lms] = np.arange(len(lms), dtype=np.int32)
     following = np.append(lms[1:], len(text) - 1)
     differ, shared = neighbours(2 * text + s, rough, following[rank[rough]] - rough)
     name_in_order = np.cumsum(differ) - 1
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), np.int32)
     names[rank[rough]] = name_in_order
     n_names = int(name_in_order[-1]) + 1
     lcp = np.zeros(len(lms), np.int32)
@@ -243,7 +246,7 @@ def suffix_lcp(text: np.ndarray, alphabet: int, budget: int = BUDGET) -> tuple[n
         order = rough
         lcp[1:] = with_run(text, work.run, order[:-1], order[1:], shared[1:])
     else:
-        ranked, equal = suffix_lcp(np.append(names + 1, 0), n_names + 1, budget)
+        ranked, equal = suffix_lcp(np.append(names + 1, np.int32(0)), n_names + 1, budget)
         order = lms[ranked]
         # Where k names are shared, the text shares their stretches and then what two different names share.
         between = shared[differ]  # what each name shares with the one before it
