@@ -4,11 +4,14 @@ HTML parsing yields the ordered items of a document: texts, and references to
 media with their captions. A reference names its payload by digest; a join on
 the digest resolves it, and items stay in their positions with their captions.
 Payloads are stored as 8-bit grey PNG images, 64 samples wide, which is
-lossless; equal payloads are stored once.
+lossless. The store is a table in the shared folder, written and read back
+where its rows are: images are never shuffled. A task stores equal payloads
+once; those of several tasks become one when their figures meet by digest.
 
 Defined cases: null HTML has no items; a reference without a payload in the
 store stays, unresolved (null columns); repeated rows keep their own items; a
-null text is an empty payload, which is 64 zero bytes.
+null text is an empty payload, which is 64 zero bytes; an empty table has no
+rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, utf8
+from tidemark.llm.common import Scratch, chunks, utf8
 from tidemark.llm.htmltext import INLINE, RAW, tags
 
 WIDTH = 64
 LEVEL = 4
-SALTS = 16
+#: Digests that a task remembers.
+SEEN = 200_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # a fixed value of the format
 SCHEME = "sha256:"
 ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
@@ -153,17 +157,19 @@ def references(sequences: DataFrame) -> DataFrame:
 def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
     """Join references with the store's row (one for each digest); positions and captions stay with them.
 
-    Salted: a third of all references may name one payload.
+    A third of all references may name one payload: a plain left join, whose
+    large partitions of references adaptive execution splits.
     """
-    salted = store.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
-    return refs.withColumn("salt", F.pmod(F.xxhash64("id", "position"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt")
+    return refs.join(store, "digest", "left")
 
 
 def store_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stored form of each payload; a task stores equal ones once."""
+    """Stored form of each payload; a task stores equal ones once (as far back as ``SEEN`` payloads)."""
     seen: set[bytes] = set()
     for batch in chunks(batches):
         digests, images = [], []
+        if len(seen) > SEEN:
+            seen.clear()
         for text in utf8(batch):
             samples = payload(text)
             digest = hashlib.sha256(samples).digest()
@@ -175,14 +181,10 @@ def store_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Figures of each stored image, from its samples as read from the stored bytes; equal images of several tasks count once."""
-    seen: set[str] = set()
+    """Figures of each stored image, from its samples as read from the stored bytes."""
     for batch in chunks(batches, "media"):
         rows = []
         for digest, image in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist(), strict=True):
-            if digest in seen:
-                continue
-            seen.add(digest)
             samples = decode(image)
             rows.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples)))
         if rows:
@@ -197,11 +199,22 @@ def as_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows, pa.string())], names=["id", "html"])
 
 
+def stored_figures(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Write the payloads of ``texts`` (text) to the store, read them back, and give one row of figures for each digest.
+
+    The figures of a digest that several tasks stored are equal; the least is taken, combined before the shuffle.
+    """
+    stored = scratch.save(texts.mapInArrow(store_media, "digest string, media binary"))
+    names = [x.split()[0] for x in FIGURES.split(", ")][1:]
+    figures = scratch.save(stored.mapInArrow(read_back, FIGURES).groupBy("digest").agg(F.min(F.struct(*names)).alias("own")).select("digest", "own.*"))
+    scratch.drop(stored)
+    return figures
+
+
 def document_media(docs: DataFrame) -> DataFrame:
     """Store every text (doc_id, text) as media, refer to it from a sequence, resolve and read back."""
     texts = docs.select("doc_id", "text")
-    stored = texts.select("text").mapInArrow(store_media, "digest string, media binary").repartition("digest")
-    figures = stored.mapInArrow(read_back, FIGURES)
+    figures = stored_figures(texts.select("text"), Scratch(docs.sparkSession))
     sequences = interleave(texts.mapInArrow(as_pages, "id long, html string"))
     return resolve(references(sequences), figures).select(
         F.col("id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
