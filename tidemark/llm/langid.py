@@ -1,14 +1,18 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Each language has models of orders 1 to 4 over the characters of its words,
-with word ends. All languages share sorted arrays of 64-bit n-gram hashes; a
-row beside each hash holds every language's interpolated log probability, so
-one binary search serves all languages. The language with the lowest cross
-entropy per character wins; a text whose cross entropy exceeds the winner's
-calibrated limit is rejected.
+with word ends. All languages share sorted arrays of 64-bit n-gram hashes;
+beside a hash stand the languages that have the n-gram, each with its
+interpolated log probability, so one binary search serves all languages and
+the arrays hold no more than the languages' own n-grams. The language with the
+lowest cross entropy per character wins; a text whose cross entropy exceeds
+the winner's calibrated limit is rejected.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0
-and is not accepted. Without any labelled text all is ``und``.
+and is not accepted. Without any labelled text all is ``und``. A language with
+too few calibration texts has the limit of all languages' texts together;
+without any calibration text at all nothing is rejected. Repeated rows get
+equal results; ties go to the first language by name.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SCORE_CHARS = 40
 #: Bound of the training sample: about so many documents of each language.
 DOCS_PER_LANG = 600
 CALIBRATION_PER_LANG = 200
+#: Calibration texts of a language below which its limit is that of all together.
+LEAST_TEXTS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean"
 
@@ -67,13 +73,41 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+@dataclass
+class Sparse:
+    """Sorted hashes; hash i has the entries ``start[i]`` to ``start[i + 1]``, each a language and a value."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(per: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+        """From each language's hashes and values."""
+        keys, value = (np.concatenate([x[i] for x in per]) for i in (0, 1))
+        lang = np.repeat(np.arange(len(per), dtype=np.int16), [len(x[0]) for x in per])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return Sparse(keys[first], np.append(first, len(keys)), lang[order], value[order].astype(np.float32))
+
+    def entries(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``wanted`` that are there, with language and value."""
+        at = find(self.keys, wanted)
+        rows = np.flatnonzero(at >= 0)
+        begin = self.start[at[rows]]
+        n = self.start[at[rows] + 1] - begin
+        which = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(rows, n), self.lang[which], self.value[which]
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
-    #: Per order from 1: sorted gram hashes and log10 probabilities (grams x languages).
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    #: Per order from 1: sorted context hashes and log10 backoff weights; the first is empty.
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    #: Per order from 1: log10 probabilities by n-gram, and log10 backoff weights by context (none for order 1).
+    grams: list[Sparse]
+    contexts: list[Sparse | None]
     #: log10 probability of an unseen symbol per language.
     unseen: np.ndarray
     #: Highest accepted cross entropy per language.
@@ -81,29 +115,21 @@ class LanguageModel:
 
     def log_probs(self, grams: np.ndarray) -> np.ndarray:
         """Interpolated log10 P(last symbol | the others) for rows of code points, per language."""
-        k = grams.shape[1]
-        keys, table = self.grams[k - 1]
-        at = find(keys, gram_keys(grams))
-        out = np.empty((len(grams), len(self.langs)))
-        hit = at >= 0
-        out[hit] = table[at[hit]]
-        miss = ~hit
-        if miss.any():
-            if k == 1:
-                out[miss] = self.unseen
-            else:
-                rest = grams[miss]
-                below = self.log_probs(rest[:, 1:])
-                ckeys, weights = self.contexts[k - 1]
-                c = find(ckeys, gram_keys(rest[:, :-1]))
-                below[c >= 0] += weights[c[c >= 0]]
-                out[miss] = below
+        out = np.tile(self.unseen, (len(grams), 1))
+        for k in range(1, grams.shape[1] + 1):
+            part = grams[:, grams.shape[1] - k :]
+            if k > 1:
+                row, lang, weight = self.contexts[k - 1].entries(gram_keys(part[:, :-1]))
+                out[row, lang] += weight
+            row, lang, value = self.grams[k - 1].entries(gram_keys(part))
+            out[row, lang] = value
         return out
 
     def word_figures(self, words: list[str]) -> dict[str, np.ndarray]:
         cleaned = [clean(w) for w in words]
         grams, n = windows(cleaned)
-        lp = segment_sums(self.log_probs(grams), n)
+        _, first, again = np.unique(gram_keys(grams), return_index=True, return_inverse=True)
+        lp = segment_sums(self.log_probs(grams[first])[again], n)
         letters = n - 1
         lp[letters == 0] = 0
         return {"lp": lp, "letters": letters, "symbols": np.where(letters > 0, n, 0)}
@@ -128,33 +154,26 @@ def fit(counts: dict[str, tuple[list[str], np.ndarray]]) -> LanguageModel:
             orders[k - 1] = (g[first], np.bincount(inverse).astype(np.float64))
         per.append(orders)
     alphabet = len(np.unique(np.concatenate([o[0][0].ravel() for o in per]))) + 1
-    model = LanguageModel(langs, [], [], np.empty(len(langs)), np.full(len(langs), np.inf))
-    for k in range(1, ORDER + 1):
-        grams = np.concatenate([o[k - 1][0] for o in per])
-        keys, first = np.unique(gram_keys(grams), return_index=True)
-        grams = grams[first]
-        ctx_keys, ctx_at = np.unique(gram_keys(grams[:, :-1]), return_inverse=True)
-        discounted = np.zeros((len(keys), len(langs)))
-        backoff = np.ones((len(ctx_keys), len(langs)))
-        for j, orders in enumerate(per):
+    probabilities, weights, unseen = [[] for _ in range(ORDER)], [[] for _ in range(ORDER)], []
+    for orders in per:
+        below = None  # sorted hashes and probabilities of the order below
+        for k in range(1, ORDER + 1):
             g, c = orders[k - 1]
-            at = find(keys, gram_keys(g))
+            keys = gram_keys(g)
+            ctx_keys, ctx = np.unique(gram_keys(g[:, :-1]), return_inverse=True)
             n1, n2 = (c == 1).sum(), (c == 2).sum()
             d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            total = np.bincount(ctx_at[at], c, minlength=len(ctx_keys))
-            kinds = np.bincount(ctx_at[at], minlength=len(ctx_keys))
-            seen = total > 0
-            backoff[seen, j] = np.minimum(1, d * kinds[seen] / total[seen])
-            discounted[at, j] = np.maximum(c - d, 0) / total[ctx_at[at]]
-        if k == 1:
-            lower = np.full((len(keys), len(langs)), 1 / alphabet)
-            model.unseen = np.log10(backoff[0] / alphabet)
-        else:
-            lower = 10 ** model.grams[k - 2][1][find(model.grams[k - 2][0], gram_keys(grams[:, 1:]))]
-        p = discounted + backoff[ctx_at] * lower
-        model.grams.append((keys, np.log10(p)))
-        model.contexts.append((ctx_keys, np.log10(backoff)))
-    return model
+            total, kinds = np.bincount(ctx, c), np.bincount(ctx)
+            backoff = np.minimum(1, d * kinds / total)
+            lower = 1 / alphabet if below is None else below[1][find(below[0], gram_keys(g[:, 1:]))]
+            p = np.maximum(c - d, 0) / total[ctx] + backoff[ctx] * lower
+            if k == 1:
+                unseen.append(np.log10(backoff[0] / alphabet))
+            order = np.argsort(keys)
+            below = keys[order], p[order]
+            probabilities[k - 1].append((keys, np.log10(p)))
+            weights[k - 1].append((ctx_keys, np.log10(backoff)))
+    return LanguageModel(langs, [Sparse.of(x) for x in probabilities], [Sparse.of(x) if k else None for k, x in enumerate(weights)], np.array(unseen), np.full(len(langs), np.inf))
 
 
 def scorer(model: LanguageModel | None):
@@ -225,11 +244,12 @@ def train(docs: DataFrame, may_learn: Column, docs_per_lang: int = DOCS_PER_LANG
     model = fit(counts)
     held = labelled.filter((draw >= 0.8) & (draw < 0.8 + F.least(F.lit(0.2), share(calibration_per_lang))))
     seen = held.select("doc_id", "text", F.lit(False).alias("held_out")).mapInArrow(scorer(model), SCHEMA).filter("cross_entropy is not null").select("lang_pred", "cross_entropy").toPandas()
+    pooled = seen["cross_entropy"].to_numpy()
     for j, lang in enumerate(model.langs):
-        ce = np.sort(seen.loc[seen.lang_pred == lang, "cross_entropy"].to_numpy())
-        if len(ce) >= 20:
+        ce = seen.loc[seen.lang_pred == lang, "cross_entropy"].to_numpy()
+        if len(pooled):
             # Half the way from the calibrated upper tail to a uniform guess; clean texts lie far below it.
-            high = np.quantile(ce, 0.99)
+            high = np.quantile(ce if len(ce) >= LEAST_TEXTS else pooled, 0.99)
             model.limits[j] = high + 0.5 * max(0.0, -model.unseen[j] - high)
     return model
 
