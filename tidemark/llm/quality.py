@@ -1,8 +1,8 @@
 """Quality rules by tokeniser fertility.
 
 Public vocabularies, applied to every word, tell how well a text resembles
-the prose they were made from: characters per token of three vocabularies, and
-for one of them the share of tokens that are byte fallbacks and the entropy of
+the prose they were made from: characters per token of two vocabularies, and for
+one of them the share of tokens that are byte fallbacks and the entropy of
 the token distribution. Texts outside the fixed bands of their script are
 rejected, and so are those far from the corpus' own distribution: quartiles of
 all documents that pass the base rules, by language (column ``lang``) and
@@ -51,11 +51,11 @@ BANDS = {
     "other": Band(0.2, 6.0, 0.90, 2.0),
 }
 #: Vocabularies beside the first, whose characters per token count too.
-OTHERS = ("byte_bpe_50k.json", "word_bpe_49k.json")
+OTHERS = ("byte_bpe_50k.json",)
 #: Quartile ranges around the median, documents that quartiles need, and the least range as a share of the median.
 SPREAD, LEAST, NARROW = 3.0, 50, 0.01
 #: Figures with quartiles; entropy has no upper limit.
-JUDGED = ("chars_per_token", "other_0", "other_1", "token_entropy")
+JUDGED = ("chars_per_token", *(f"other_{i}" for i in range(len(OTHERS))), "token_entropy")
 #: Script ranges of code points (fixed values); the first that fits counts.
 SCRIPTS = (("latin", ((0x41, 0x24F), (0x1E00, 0x1EFF))), ("greek", ((0x370, 0x3FF),)), ("cyrillic", ((0x400, 0x52F),)), ("cjk", ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))))
 NAMES = [*(name for name, _ in SCRIPTS), "other"]
@@ -65,7 +65,7 @@ SCHEMA = (
     "script string, chars_per_token double, fallback_share double, token_entropy double"
 )
 #: What limits need besides.
-FIGURES = SCHEMA + ", n_tokens long, other_0 double, other_1 double"
+FIGURES = SCHEMA + ", n_tokens long" + "".join(f", other_{i} double" for i in range(len(OTHERS)))
 
 
 def default_model() -> str:
@@ -113,15 +113,18 @@ class Fertility:
         begin = self.used + np.cumsum(n) - n
         self.used = need
         others = np.array([[len(x) for x in t.encode_batch_fast(strings, add_special_tokens=False)] for t in self.others], np.int32).T
-        letters = np.zeros((len(words), len(NAMES)), np.int32)
-        for i, s in enumerate(strings):
-            if s.isascii():
-                letters[i, 0] = len(s)
-            else:
-                for c in s:
-                    if c.isalpha():
-                        letters[i, script_of(ord(c))] += 1
-        return {"n": n, "begin": begin.astype(np.int64), "fallback": segment_sums(self.fallback[flat].astype(np.int64), n), "letters": letters, "others": others}
+        return {"n": n, "begin": begin.astype(np.int64), "fallback": segment_sums(self.fallback[flat].astype(np.int64), n), "letters": letters_of(strings), "others": others}
+
+
+def letters_of(strings: list[str]) -> np.ndarray:
+    """Letters of each script in each string."""
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "replace"), np.uint32)
+    distinct, which = np.unique(codes, return_inverse=True)
+    script = np.array([script_of(c) if chr(c).isalpha() else -1 for c in distinct.tolist()], np.int64)[which]
+    some = script >= 0
+    owner = np.repeat(np.arange(len(strings)), lengths)
+    return np.bincount(owner[some] * len(NAMES) + script[some], minlength=len(strings) * len(NAMES)).reshape(-1, len(NAMES)).astype(np.int32)
 
 
 def script_of(code: int) -> int:
@@ -167,7 +170,8 @@ def rules(model: str, bands: dict[str, Band], held: list[str]):
                 entropy = entropies(fertility.flat[at], tokens, fertility.vocab)
                 fallback = segment_sums(memo.columns["fallback"][index].astype(np.int64), n)
                 others = segment_sums(memo.columns["others"][index].astype(np.int64), n)
-                script = segment_sums(memo.columns["letters"][index].astype(np.int64), n).argmax(1)
+                letters = segment_sums(memo.columns["letters"][index].astype(np.int64), n)
+                script = np.where(letters.any(1), letters.argmax(1), len(NAMES) - 1)
             else:
                 tokens = fallback = np.zeros(len(texts), np.int64)
                 others = np.zeros((len(texts), len(OTHERS)), np.int64)
