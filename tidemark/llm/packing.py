@@ -10,7 +10,9 @@ ranks, so pieces find their sequence and offset from their rank among the
 pieces of their length.
 
 Defined cases: a null or empty text is one piece that holds the end id alone;
-repeated rows are packed as often as they occur; an empty table gives no rows.
+repeated rows are packed as often as they occur; an empty table gives no rows;
+ties of length are placed by doc_id, piece and digest; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -33,10 +35,10 @@ from tidemark.llm.common import Scratch, chunks, utf8
 
 CAPACITY = 4096
 END_ID = 1
-CHUNK = 4 << 20
-MEMO = 700_000
-#: Ranks are counted within (length, salt); a length gets so many salts that each holds about this many rows.
-ROWS_PER_SALT, MAX_SALTS = 200_000, 1024
+CHUNK = 2 << 20
+MEMO = 300_000
+#: Ranks are counted within (length, salt). A salt holds about this many rows of a length, or so many more that there are about MOST_SALTS.
+ROWS_PER_SALT, MOST_SALTS = 500, 100_000
 #: Pre-tokenisation of the public word vocabulary (a fixed value).
 WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: Marks that are a pre-token of their own after letters.
@@ -130,51 +132,71 @@ def cutter(path: str, capacity: int, end_id: int):
 Pattern = tuple[int, list[tuple[int, int]]]
 
 
+class SumIndex:
+    """Combinations of available lengths by their sum.
+
+    Counts only fall, so a combination that isn't there any more never comes
+    back: each sum has a cursor over its pairs, and one over its triples, which
+    only moves on. All lookups together pass each combination once.
+    """
+
+    def __init__(self, have: list[int]):
+        self.have = have
+        self.small = [1] * len(have)
+        self.third = list(range(-2, len(have) - 2))
+
+    def pair(self, total: int, used: tuple[int, ...] = ()) -> tuple[int, int] | None:
+        """Two lengths, the larger as large as can be, besides those in ``used``."""
+        have, a, passed = self.have, self.small[total], True
+        while 2 * a <= total:
+            b = total - a
+            if have[a] and have[b] > (a == b):
+                if passed:
+                    self.small[total], passed = a, False
+                if have[a] > used.count(a) and have[b] > used.count(b) + (a == b):
+                    return b, a
+            a += 1
+        if passed:
+            self.small[total] = a
+        return None
+
+    def triple(self, total: int, used: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """Three lengths, the largest as large as can be, besides those in ``used``."""
+        have, c, passed = self.have, self.third[total], True
+        while 3 * c >= total and c > 0:
+            if have[c] and self.pair(total - c):
+                if passed:
+                    self.third[total], passed = c, False
+                if have[c] > used.count(c) and (two := self.pair(total - c, (*used, c))):
+                    return c, *two
+            c -= 1
+        if passed:
+            self.third[total] = c
+        return None
+
+
 def exact_patterns(have: np.ndarray, capacity: int) -> list[Pattern]:
     """Consume from ``have`` (counts by length) all that exact complements fill, longest first."""
     out: list[Pattern] = []
-
-    def consume(lengths: list[int]) -> None:
-        kinds = sorted(set(lengths), reverse=True)
-        times = min(int(have[x]) // lengths.count(x) for x in kinds)
-        for x in kinds:
-            have[x] -= times * lengths.count(x)
-        out.append((times, [(x, lengths.count(x)) for x in kinds]))
-
-    def pair(total: int, used: list[int]) -> tuple[int, int] | None:
-        """Two lengths of sum ``total``, the larger as large as can be, besides those already used."""
-        if total < 2:
-            return None
-        a = np.arange(1, total // 2 + 1)
-        left = have.copy() if used else have
-        for x in used:
-            left[x] -= 1
-        small, large = left[a], left[total - a]
-        fits = np.flatnonzero((small > 0) & (large > 0) & ((2 * a != total) | (small > 1)))
-        return (int(total - a[fits[0]]), int(a[fits[0]])) if len(fits) else None
-
+    left = have.tolist()
+    sums = SumIndex(left)
     for longest in range(capacity, 0, -1):
-        while have[longest]:
+        while left[longest]:
             gap = capacity - longest
             if gap == 0:
-                consume([longest])
-                continue
-            if gap <= capacity and have[gap] > (gap == longest):
-                consume([longest, gap])
-                continue
-            if two := pair(gap, [longest]):
-                consume([longest, *two])
-                continue
-            found = None
-            for third in np.flatnonzero(have[: min(gap, longest) + 1])[::-1].tolist():
-                if 3 * third < gap:  # the largest of three is a third of the gap at least
-                    break
-                if have[third] > (third == longest) and (two := pair(gap - third, [longest, third])):
-                    found = [longest, third, *two]
-                    break
-            if not found:
+                found = (longest,)
+            elif left[gap] > (gap == longest):
+                found = (longest, gap)
+            elif more := sums.pair(gap, (longest,)) or sums.triple(gap, (longest,)):
+                found = (longest, *more)
+            else:
                 break
-            consume(found)
+            kinds = sorted(set(found), reverse=True)
+            times = min(left[x] // found.count(x) for x in kinds)
+            for x in kinds:
+                left[x] -= times * found.count(x)
+            out.append((times, [(x, found.count(x)) for x in kinds]))
+    have[:] = left
     return out
 
 
@@ -255,22 +277,21 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (PIECES columns, read more than once) with sequence_id and offset.
 
     The ranks of a length are dealt over salts, so a length that a third of
-    all rows share is counted by many tasks; the driver gets ``capacity`` times
-    the salts numbers at most.
+    all rows share is counted by many tasks. The driver gets the counts of the
+    lengths, ``capacity`` numbers at most; what comes before each salt is summed
+    where the sizes of the salts are.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    salts = int(min(MAX_SALTS, max([1, *counts.values()]) // ROWS_PER_SALT + 1))
     ranges, _ = plan(counts, capacity)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    sizes = {(r["length"], r["salt"]): r["n"] for r in salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()} if salts > 1 else {}
-    before: dict[int, list[int]] = {}
-    for length in counts:
-        each = [sizes.get((length, s), 0) for s in range(salts)]
-        before[length] = [0, *np.cumsum(each).tolist()[:-1]]
+    each = max(ROWS_PER_SALT, sum(counts.values()) // MOST_SALTS)
     spark = pieces.sparkSession
-    starts = spark.createDataFrame([(a, s, n) for a, x in before.items() for s, n in enumerate(x)], "length long, salt long, before long")
+    dealt = spark.createDataFrame([(length, n // each + 1) for length, n in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(dealt), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     window = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("nth", F.row_number().over(window) - 1).join(F.broadcast(starts), ["length", "salt"])
+    ranked = salted.withColumn("nth", F.row_number().over(window) - 1).join(starts, ["length", "salt"])
     names = [x.split()[0] for x in PIECES.split(", ")]
     return ranked.select(*names, (F.col("nth") + F.col("before")).cast("long").alias("rank")).mapInArrow(placer(ranges), PIECES + ", sequence_id long, offset long")
 
