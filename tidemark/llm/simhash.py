@@ -9,11 +9,11 @@ integer Hamming distance to their parent, small leaves), whose points follow
 only the edges within the radius. A shard reports a spanning forest of its
 links, not all pairs; components are joined by alternating stars.
 
-The trees aren't broadcast: their number and size grow with the corpus. Each
-travels by shuffle to the task that searches it. The more points there are,
-the more bits a shard's key has, so a shard keeps a few dozen points of chance;
-a dense ball of near copies has at most as many points as there are distinct
-fingerprints in it.
+The trees aren't broadcast: all together they hold the fingerprints of all
+documents, which must not go through the driver, and no bound holds for them.
+Each travels by shuffle to the task that searches it. A shard's key has as many
+bits as keep a few thousand points of chance in it; a dense ball of near copies
+has at most as many points as there are distinct fingerprints in it.
 
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero, linked like any other; repeated doc_ids are rows of their
@@ -36,9 +36,9 @@ from tidemark.llm.components import connected_components
 
 BITS = 64
 SEED = 42
-LEAF = 32
+LEAF = 8
 #: Points of chance that a shard may hold before keys take one more block.
-CROWD = 64
+CROWD = 4096
 SALTS = 16
 
 
