@@ -319,7 +319,7 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, co
     sums = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("texts")).first()
     n_texts, parts = sums["texts"] or 0, int((sums["bytes"] or 0) // PART_BYTES) + 1
     dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    own = scratch.save(dealt.select("part", "held_out", "text").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(word_counter, "part int, word long, n long"))
+    own = scratch.save(dealt.select("part", "held_out", "text").repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(word_counter, "part int, word long, n long"))
     scratch.release()
     corpus = scratch.save(own.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
     total = corpus.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
@@ -329,5 +329,5 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, co
     tree = train(docs.filter("not held_out"), frequent, n_texts, tokens, kinds, context_share, next_share, depth)
     counts = own.select("part", "word").join(corpus.filter(F.col("n") < least), "word").select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"), "word", "n")
     texts = dealt.select("part", F.lit(1).alias("kind"), "doc_id", "held_out", "text", F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("n"))
-    both = counts.union(texts).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    both = counts.union(texts).repartitionById(parts, "part").sortWithinPartitions("part", "kind")
     return both.mapInArrow(scorer(tree, n_texts), RESULT)
