@@ -109,7 +109,7 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         memo.refresh()
         x = statistics(utf8(batch), memo)
-        yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "x": pa.array(list(x), pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "label": batch.column("label"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
 
 def scorer(model: Discriminant | Constant):
@@ -130,14 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int =
     """Fit on the labelled rows (doc_id, label) with the smallest hashes, ``max_rows`` at most.
 
     Which is the bound of what is broadcast and of what comes to the driver:
-    one label per doc_id (the smallest, if labels repeat).
+    one label per doc_id (the smallest, if labels repeat), and of repeated
+    doc_ids the row with the least statistics.
     """
     chosen = (
         labels.filter(may_learn & F.col("label").isin(0, 1))
         .groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(features, "label int, x array<double>").limit(2 * max_rows).toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("row")).select("row.*").toArrow()
     y = rows.column("label").to_numpy()
     if not len(y):
         return fit(np.zeros((0, 1)), np.zeros(0, np.int32))
