@@ -57,3 +57,20 @@ def test_tails_and_blocks(spark, block):
     want = one_of_each(texts)
     assert 300 <= len(want) < 450
     assert kept(spark, texts) == want
+
+
+def test_same_words_in_another_order(spark):
+    """Near copies whose fingerprint is also that of a smaller, dissimilar document."""
+    words = [f"word{i}" for i in range(200)]
+    shuffled = random.Random(1).sample(words, len(words))
+    texts = {1: " ".join(shuffled), 2: " ".join(words), 3: " ".join([*words, words[-1]])}
+    assert kept(spark, texts) == {1, 2}
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    ship(spark)
+    rows = [(1, "a b c d e f g", 7), (2, "a b c d e f g", 8), (None, "a b c d e f g", 9), (4, None, None), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id int")
+    assert sorted(tuple(r) for r in neardup.keep_one(df).select("doc_id", "gone_id").collect() if r.doc_id) == [(1, 7), (4, None)]
+    assert neardup.keep_one(df).filter("doc_id is null").count() == 1
+    assert neardup.keep_one(df.filter("false")).count() == 0
