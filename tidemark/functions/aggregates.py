@@ -68,8 +68,10 @@ def percentile_continuous(x: X, p: float) -> Column:
 
 
 def percentile_discrete(x: X, p: float) -> Column:
-    """The element number ceil(p * n), the least one for p = 0."""
-    return F.element_at(F.array_sort(F.collect_list(col(x))), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.count(col(x)))).cast("int"))
+    """The element number ceil(p * n), the least one for p = 0; from counts of distinct values, if ``x`` is a name."""
+    if isinstance(x, str):
+        return F.expr(f"percentile_disc({float(p)}D) WITHIN GROUP (ORDER BY `{x}`)")
+    return F.element_at(F.array_sort(F.collect_list(x)), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.count(x))).cast("int"))
 
 
 def standard_deviation(x: X) -> Column:
@@ -109,10 +111,16 @@ def sorted_list(x: X) -> Column:
 
 
 def top_k(x: X, k: int) -> Column:
-    """Structs (value, rank) of the values of rank k or better, greatest first; ties share a rank and all stay."""
+    """Structs (value, rank) of the values of rank k or better, greatest first; ties share a rank and all stay.
+
+    A value's rank is one more than its first place among the sorted ones, so
+    only the first k and the ties of the last of them are looked at. For large
+    groups use ``top_k_rows``, which gathers nothing.
+    """
     values = F.reverse(F.array_sort(F.collect_list(col(x))))
-    ranked = F.transform(values, lambda v: F.struct(v.alias("value"), (F.size(F.filter(values, lambda u: u > v)) + 1).alias("rank")))
-    return F.filter(ranked, lambda r: r["rank"] <= k)
+    least = F.element_at(values, F.least(F.lit(k), F.size(values)))
+    best = F.when(F.size(values) > 0, F.filter(values, lambda v: v >= least)).otherwise(values)
+    return F.transform(best, lambda v: F.struct(v.alias("value"), F.array_position(best, v).cast("int").alias("rank")))
 
 
 def joined(parts: dict[str, Column]) -> Column:
@@ -143,3 +151,14 @@ def folded(x: X, start: Column, step: Callable[[Column, Column], Column], finish
     else:
         values = F.transform(F.array_sort(F.collect_list(F.struct(col(order).alias("o"), col(x).alias("x")))), lambda s: s["x"])
     return F.aggregate(values, start, step, finish)
+
+
+def user_aggregate(f: Callable, kind: str) -> Callable[..., Column]:
+    """A user's function from the values of a group (pandas Series) to one value; the group travels by Arrow."""
+    import warnings
+
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # a user's function has no type hints to tell its kind
+        return pandas_udf(f, kind, PandasUDFType.GROUPED_AGG)

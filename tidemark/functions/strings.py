@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ def index_of(x: X, part: str, start: int = 0) -> Column:
     return F.locate(part, col(x), start + 1) - 1
 
 
-def last_index_of(x: X, part: str) -> Column:
-    at = F.instr(F.reverse(col(x)), part[::-1])
-    return F.when(at == 0, F.lit(-1)).otherwise(F.length(col(x)) - at - len(part) + 1)
+def last_index_of(x: X, part: str, start: int | None = None) -> Column:
+    """The last place of the part; with ``start``, the last that lies wholly in the text up to that place."""
+    text = col(x) if start is None else F.substring(col(x), 1, start + 1)
+    at = F.instr(F.reverse(text), part[::-1])
+    return F.when(at == 0, F.lit(-1)).otherwise(F.length(text) - at - len(part) + 1)
 
 
 def is_match(x: X, pattern: str) -> Column:
@@ -53,3 +58,26 @@ def hash_code(x: X) -> Column:
 
 def length(x: X) -> Column:
     return F.length(col(x))
+
+
+def split_any(x: X, separators: str) -> Column:
+    """Parts between any of the characters."""
+    return F.split(col(x), "[" + "".join(c if c.isalnum() else f"\\{c}" for c in separators) + "]", -1)
+
+
+def apply(x: X, f: Callable[[str], object], kind: str) -> Column:
+    """A user's function of each text; batches travel by Arrow, and nulls stay."""
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f, na_action="ignore")
+
+    return run(col(x))
+
+
+def apply_boolean(x: X, f: Callable[[str], bool]) -> Column:
+    return apply(x, f, "boolean")
+
+
+def apply_string(x: X, f: Callable[[str], str]) -> Column:
+    return apply(x, f, "string")

@@ -90,6 +90,26 @@ class TemporalFrame:
         """Several sub-queries over one source; a plan is a value, so sharing is reuse."""
         return [s(self) for s in selectors]
 
+    def multicast_with(self, other: TemporalFrame, selector: Callable[[TemporalFrame, TemporalFrame], TemporalFrame]) -> TemporalFrame:
+        """A sub-query over two sources."""
+        return selector(self, other)
+
+    def equi_join(self, other: TemporalFrame, prefix: str = "r_") -> TemporalFrame:
+        """The join that the promises of both sides allow: without ends an equi-join, with constant durations one without statistics."""
+        from tidemark.operators import join as J
+
+        a, b = self.props, other.props
+        if a.interval_free and b.interval_free:
+            out = J.start_edge_join(self.df, other.df, self.keys, prefix)
+        elif a.constant_duration and b.constant_duration:
+            out = J.fixed_interval_join(self.df, other.df, a.constant_duration, b.constant_duration, self.keys, prefix)
+        else:
+            out = J.join(self.df, other.df, self.keys, None, prefix)
+        return replace(self, df=out, props=Props(interval_free=a.interval_free and b.interval_free))
+
+    def get_properties(self) -> Props:
+        return self.props
+
     def copies(self, n: int) -> list[TemporalFrame]:
         return [self] * n
 
@@ -118,3 +138,22 @@ class TemporalFrame:
             before = F.max(VE).over(over(payload, VS).rowsBetween(Window.unboundedPreceding, -1))
             out = out.union(df.withColumn("before", before).filter(F.col("before") > F.col(VS)).drop("before"))
         return out
+
+
+@dataclass
+class QueryContext:
+    """Named relations, for fluent queries and for SQL."""
+
+    spark: object
+    frames: dict[str, TemporalFrame] = field(default_factory=dict)
+
+    def register(self, name: str, df: DataFrame, keys: Sequence[str] = (), props: Props | None = None) -> TemporalFrame:
+        self.frames[name] = frame = TemporalFrame(df, tuple(keys), props or Props())
+        df.createOrReplaceTempView(name)
+        return frame
+
+    def __getitem__(self, name: str) -> TemporalFrame:
+        return self.frames[name]
+
+    def sql(self, text: str) -> TemporalFrame:
+        return TemporalFrame(self.spark.sql(text))

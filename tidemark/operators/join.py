@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,40 +26,64 @@ def key_match(keys: Sequence[str], right: str = "__r_") -> Column:
     return cond
 
 
-def width_of(left: DataFrame, right: DataFrame) -> int:
-    """Bucket width for an interval join: the mean closed lifetime of both sides, so rows span few buckets (two numbers to the driver)."""
-    both = left.select(VS, VE).union(right.select(VS, VE)).filter(F.col(VE) != INF)
-    mean = both.agg(F.avg(F.col(VE) - F.col(VS)).alias("w")).first()["w"]
-    return max(1, int(2 * (mean or 1)))
+#: Buckets of time that a lifetime spans at most.
+SPAN = 512
 
 
-def spanned(df: DataFrame, width: int, last: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Grid:
+    """Widths of the buckets of time that an interval join deals rows to: ``fine`` for short lifetimes, ``coarse`` for those that span more than SPAN of these."""
+
+    fine: int
+    coarse: int
+    last: int
+    has_long: bool
+
+
+def grid_of(left: DataFrame, right: DataFrame) -> Grid:
+    """From one pass over both sides (a row to the driver): twice the mean closed lifetime, and the range of time in SPAN buckets."""
+    both = left.select(VS, VE).union(right.select(VS, VE))
+    closed = F.col(VE) != INF
+    row = both.agg(
+        F.avg(F.when(closed, F.col(VE) - F.col(VS))).alias("mean"), F.max(F.when(closed, F.col(VE) - F.col(VS))).alias("most"), F.min(VS).alias("low"),
+        F.max(F.greatest(F.col(VS), F.when(closed, F.col(VE)).otherwise(F.col(VS)))).alias("top"), F.bool_or(~closed).alias("open"),
+    ).first()
+    low, top = row["low"] or 0, row["top"] or 0
+    coarse = max(1, (top - low) // SPAN + 1)
+    fine = min(coarse, max(1, int(2 * row["mean"]))) if row["mean"] else coarse
+    return Grid(fine, coarse, top, bool(row["open"]) or (row["most"] or 0) > SPAN * fine)
+
+
+def spanned(df: DataFrame, width: int, last: int) -> DataFrame:
     """A row for each bucket of time that a lifetime touches; an open end goes to ``last``."""
-    end = F.when(F.col(VE) == INF, last if last is not None else F.col(VS)).otherwise(F.col(VE) - 1)
+    end = F.when(F.col(VE) == INF, F.lit(last)).otherwise(F.col(VE) - 1)
     return df.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(VS) / width), F.floor(F.greatest(end, F.col(VS)) / width))))
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, last: int) -> DataFrame:
+    """Pairs of rows that are alive together; a pair counts in the bucket where its common lifetime starts, once."""
+    rb = prefixed(spanned(right, width, last), "__r_", ()).withColumnsRenamed({f"__r_{VS}": "__rvs", f"__r_{VE}": "__rve"})
+    overlap = (F.col(VS) < F.col("__rve")) & (F.col("__rvs") < F.col(VE))
+    here = F.col("__bucket") == F.floor(F.greatest(F.col(VS), F.col("__rvs")) / width)
+    return spanned(left, width, last).join(rb, (F.col("__bucket") == F.col("__r___bucket")) & key_match(keys) & overlap & here).drop("__bucket", "__r___bucket")
+
+
 def join(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), condition: Column | None = None, prefix: str = "r_", width: int | None = None) -> DataFrame:
     """Pairs of equal keys, valid while both are; right payload columns get ``prefix``. ``condition`` may use both sides.
 
-    With keys it is an equi-join with a residual overlap test, which adaptive
-    execution splits where a key is hot. Without keys (or with ``width``) both
-    sides are dealt to buckets of time, and a pair counts in the bucket where
-    its common lifetime starts, once.
+    Both sides are dealt to buckets of time within the keys, so a hot key is
+    many tasks and gives few pairs that don't overlap. Lifetimes that are open,
+    or far longer than the mean, are dealt to wider buckets of their own, so
+    no row spans more than ``SPAN`` of them.
     """
-    r = prefixed(right, "__r_", ()).withColumnsRenamed({f"__r_{VS}": "__rvs", f"__r_{VE}": "__rve"})
-    overlap = (F.col(VS) < F.col("__rve")) & (F.col("__rvs") < F.col(VE))
-    if keys and width is None:
-        pairs = left.join(r, key_match(keys) & overlap)
+    grid = grid_of(left, right)
+    fine = width or grid.fine
+    if not grid.has_long:
+        pairs = overlapping(left, right, keys, fine, grid.last)
     else:
-        width = width or width_of(left, right)
-        top = left.agg(F.max(F.greatest(VS, F.when(F.col(VE) == INF, F.col(VS)).otherwise(F.col(VE)))).alias("t")).first()["t"] or 0
-        top = max(top, right.agg(F.max(F.greatest(VS, F.when(F.col(VE) == INF, F.col(VS)).otherwise(F.col(VE)))).alias("t")).first()["t"] or 0)
-        lb = spanned(left, width, F.lit(top))
-        rb = spanned(right, width, F.lit(top))
-        rb = prefixed(rb, "__r_", ()).withColumnsRenamed({f"__r_{VS}": "__rvs", f"__r_{VE}": "__rve"})
-        here = F.col("__bucket") == F.floor(F.greatest(F.col(VS), F.col("__rvs")) / width)
-        pairs = lb.join(rb, (F.col("__bucket") == F.col("__r___bucket")) & key_match(keys) & overlap).filter(here).drop("__bucket", "__r___bucket")
+        is_long = (F.col(VE) == INF) | (F.col(VE) - F.col(VS) > SPAN * fine)
+        short = overlapping(left.filter(~is_long), right.filter(~is_long), keys, fine, grid.last)
+        pairs = short.unionByName(overlapping(left.filter(is_long), right, keys, grid.coarse, grid.last)).unionByName(overlapping(left.filter(~is_long), right.filter(is_long), keys, grid.coarse, grid.last))
     payload = [c for c in right.columns if c not in (VS, VE) and c not in keys]
     out = pairs.select(
         *[c for c in left.columns if c not in (VS, VE)], F.greatest(F.col(VS), F.col("__rvs")).alias(VS), F.least(F.col(VE), F.col("__rve")).alias(VE), *[F.col(f"__r_{c}").alias(f"{prefix}{c}") for c in payload]
@@ -66,6 +91,28 @@ def join(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), condition:
     return out.filter(condition) if condition is not None else out
 
 
+def fixed_interval_join(left: DataFrame, right: DataFrame, left_duration: int, right_duration: int, keys: Sequence[str] = (), prefix: str = "r_") -> DataFrame:
+    """The join of relations whose rows all live equally long: starts less than a duration apart, so each row touches two buckets at most and no statistics are read."""
+    width = max(left_duration, right_duration)
+    pairs = overlapping(left, right, keys, width, 0)
+    payload = [c for c in right.columns if c not in (VS, VE) and c not in keys]
+    return pairs.select(
+        *[c for c in left.columns if c not in (VS, VE)], F.greatest(F.col(VS), F.col("__rvs")).alias(VS), F.least(F.col(VE), F.col("__rve")).alias(VE), *[F.col(f"__r_{c}").alias(f"{prefix}{c}") for c in payload]
+    )
+
+
+def hinted_join(left: DataFrame, right: DataFrame, hint: str, keys: Sequence[str] = (), prefix: str = "r_") -> DataFrame:
+    """The join with a promise about its sides: ``increasing`` (both sorted: merged, not hashed), ``start_edges`` (no row ends), ``none``."""
+    match hint:
+        case "none":
+            return join(left, right, keys, None, prefix)
+        case "increasing":
+            return join(left, right.hint("merge"), keys, None, prefix)
+        case "start_edges":
+            return start_edge_join(left, right, keys, prefix)
+    raise ValueError(f"no hint {hint!r}")
+
+
 def cover(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Maximal stretches in which any row of the keys is alive."""
     w = over(keys, VS, VE)
@@ -78,27 +125,30 @@ def cover(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), condition: Column | None = None, prefix: str = "r_") -> DataFrame:
     """Left rows for the times at which no right row of equal keys (that meets ``condition``) is alive; a row may come in pieces.
 
-    Cover of the right side per key, then the gaps around it. With a condition
-    the cover is that of each left row's own matches.
+    The right side is reduced to its cover, whose stretches don't touch; a left
+    row meets those that it overlaps. Each stretch leaves the gap up to the next
+    one, which a window over the row's own stretches finds; no list is gathered.
+    With a condition the cover is that of each left row's own matches.
     """
-    rows = left.withColumn("__id", F.struct(*[F.col(c) for c in left.columns]))
+    payload = [c for c in left.columns if c not in (VS, VE)]
+    counted = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("__times"))
     if condition is None:
         stretches = cover(right, keys)
+        by = list(keys)
     else:
-        matched = join(left.select(*left.columns), right, keys, condition, prefix).select(*[c for c in left.columns if c not in (VS, VE)], VS, VE)
-        keys = [c for c in left.columns if c not in (VS, VE)]
-        stretches = cover(matched, keys)
-    ends = stretches.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col(VS).alias("__cs"), F.col(VE).alias("__ce"))
-    hits = rows.join(ends, key_match(keys) & (F.col(VS) < F.col("__ce")) & (F.col("__cs") < F.col(VE)), "left").drop(*[f"__r_{k}" for k in keys])
-    # The multiplicity of equal left rows is kept aside, so that a row's own stretches can be gathered.
-    counted = hits.groupBy("__id", "__cs", "__ce").agg(F.count(F.lit(1)).alias("__times"))
-    own = counted.groupBy("__id").agg(F.first("__times").alias("__times"), F.array_sort(F.collect_list(F.when(F.col("__cs").isNotNull(), F.struct(F.col("__cs").alias("s"), F.col("__ce").alias("e"))))).alias("__gone"))
-    starts = F.concat(F.array(F.col(f"__id.{VS}")), F.transform("__gone", lambda g: g["e"]))
-    stops = F.concat(F.transform("__gone", lambda g: g["s"]), F.array(F.col(f"__id.{VE}")))
-    gaps = F.filter(F.arrays_zip(starts.alias("s"), stops.alias("e")), lambda g: g["s"] < g["e"])
-    pieces = own.withColumn("__gap", F.explode(gaps)).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    plain = [F.col(f"__id.{c}").alias(c) for c in left.columns if c not in (VS, VE)]
-    return pieces.select(*plain, F.greatest(F.col(f"__id.{VS}"), F.col("__gap.s")).alias(VS), F.least(F.col(f"__id.{VE}"), F.col("__gap.e")).alias(VE)).select(*left.columns).filter(F.col(VS) < F.col(VE))
+        matched = join(left.distinct(), right, keys, condition, prefix).select(*payload, VS, VE)
+        by = payload
+        stretches = cover(matched, by)
+    met = join(counted.withColumns({"__from": F.col(VS), "__until": F.col(VE)}), stretches.withColumns({"__cs": F.col(VS), "__ce": F.col(VE)}), by, prefix="__x")
+    own = [*payload, "__from", "__until", "__times"]
+    hits = met.select(*own, F.col("__x__cs").alias("__cs"), F.col("__x__ce").alias("__ce"))
+    # A stretch before all others stands for the start of the row.
+    starts = counted.select(*payload, F.col(VS).alias("__from"), F.col(VE).alias("__until"), "__times", F.lit(None).cast("long").alias("__cs"), F.col(VS).alias("__ce"))
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in own]).orderBy(F.col("__cs").asc_nulls_first())
+    gaps = hits.unionByName(starts).withColumn("__next", F.lead("__cs").over(w))
+    start, end = F.greatest(F.col("__from"), F.col("__ce")), F.least(F.col("__until"), F.coalesce("__next", F.lit(INF)))
+    pieces = gaps.select(*payload, start.alias(VS), end.alias(VE), "__times").filter(F.col(VS) < F.col(VE))
+    return pieces.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*left.columns)
 
 
 def left_outer_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), condition: Column | None = None, prefix: str = "r_") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,24 @@ def pivot(df: DataFrame, by: Sequence[str], attribute: str, value: str, names: S
 def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], attribute: str = "attribute", value: str = "value") -> DataFrame:
     """A row for each column that is not null."""
     return df.unpivot(list(ids), list(columns), attribute, value).filter(F.col(value).isNotNull())
+
+
+def select_by_key(df: DataFrame, columns: dict[str, str | Column], keys: Sequence[str]) -> DataFrame:
+    """A selection that sees the keys, times and payload of a row; keys and lifetime stay."""
+    return select(df, columns, keys)
+
+
+def select_many_by_key(df: DataFrame, items: str | Column, name: str, keys: Sequence[str]) -> DataFrame:
+    """A row for each element of an array that is made from keys, times and payload."""
+    return df.select(*keys, VS, VE, F.explode(col(items)).alias(name))
+
+
+def table_function(df: DataFrame, f: Callable[[dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """A user's function from a row to any number of rows; batches travel by Arrow."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in schema.split(",")]
+        for batch in batches:
+            yield pd.DataFrame([out for row in batch.to_dict("records") for out in f(row)], columns=names)
+
+    return df.mapInPandas(run, schema)

@@ -15,17 +15,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Buckets that an order is cut into.
-BUCKETS = 512
+BUCKETS = 256
 
 
 def bucketed(df: DataFrame, order: str, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``bucket``: equal shares of the range of ``order`` (two numbers go to the driver)."""
-    row = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    low, high = row["low"], row["high"]
-    if low is None or high == low:
+    """Adds ``bucket``: cut at approximate quantiles of ``order``, so a burst is as many buckets as its rows need (the cuts go to the driver)."""
+    shares = [i / buckets for i in range(1, buckets)]
+    row = df.agg(F.percentile_approx(order, shares, 10 * buckets).alias("cuts")).first()
+    cuts = sorted(set(row["cuts"] or ()))
+    if not cuts:
         return df.withColumn("bucket", F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    return df.withColumn("bucket", F.floor((F.col(order) - low) / width).cast("long"))
+
+    # The place of a value among the cuts, by halving: no row meets them all.
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(order) <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    return df.withColumn("bucket", place(0, len(cuts)).cast("long"))
+
+
+def ordinals(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "number", buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``name``: the number of each row from 0 by ``order`` within the keys.
+
+    If the first of ``order`` is an integer, its range is cut into buckets that
+    are numbered by themselves; else a key's rows are one task.
+    """
+    kind = dict(df.dtypes)[order[0]]
+    if kind not in ("int", "bigint", "smallint", "tinyint"):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)) - 1)
+    cut = bucketed(df, order[0], keys, buckets)
+    by = [*keys, "bucket"]
+    chain = Window.partitionBy(*keys).orderBy("bucket") if keys else Window.orderBy("bucket")
+    sizes = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
+    carry = sizes.select(*[F.col(k).alias(f"{k}__c") for k in by], F.coalesce(F.sum("__size").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return cut.withColumn("__inside", inside).join(carry, _same(by), "left").select(*df.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(name))
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], keys: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.frame import over
+from tidemark.operators.running import ordinals
 
 
 def scan(df: DataFrame, aggregates: dict[str, Column], order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -26,7 +27,7 @@ def distinct_until_changed(df: DataFrame, value: str, order: Sequence[str], keys
 
 def buffer(df: DataFrame, value: str, size: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Lists of ``size`` values in order; the last may be shorter."""
-    numbered = df.withColumn("__i", F.row_number().over(over(keys, *order)) - 1)
+    numbered = _numbered(df, order, keys).withColumn("__i", F.col("__n") - 1).drop("__n")
     item = F.struct("__i", F.col(value).alias("v"))
     out = numbered.groupBy(*keys, F.floor(F.col("__i") / size).alias("buffer")).agg(F.array_sort(F.collect_list(item)).alias("__items"))
     return out.withColumn("items", F.transform("__items", lambda s: s["v"])).drop("__items")
@@ -39,11 +40,14 @@ def pairwise(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str
 
 
 def take(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(over(keys, *order))).filter(F.col("__n") <= n).drop("__n")
+    """The first ``n`` rows. Without keys Spark keeps the ``n`` best of each task and sorts those."""
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    return _numbered(df, order, keys).filter(F.col("__n") <= n).drop("__n")
 
 
 def skip(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(over(keys, *order))).filter(F.col("__n") > n).drop("__n")
+    return _numbered(df, order, keys).filter(F.col("__n") > n).drop("__n")
 
 
 def take_while(df: DataFrame, condition: Column, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -60,8 +64,7 @@ def skip_while(df: DataFrame, condition: Column, order: Sequence[str], keys: Seq
 
 def zip_(left: DataFrame, right: DataFrame, order: Sequence[str], keys: Sequence[str] = (), prefix: str = "r_") -> DataFrame:
     """The n-th row of one with the n-th of the other, within the keys."""
-    a = left.withColumn("__n", F.row_number().over(over(keys, *order)))
-    b = right.withColumn("__n", F.row_number().over(over(keys, *order)))
+    a, b = _numbered(left, order, keys), _numbered(right, order, keys)
     b = b.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__n").alias("__m"), *[F.col(c).alias(f"{prefix}{c}") for c in right.columns if c not in keys])
     cond = F.col("__n") == F.col("__m")
     for k in keys:
@@ -84,6 +87,9 @@ def combine_latest(left: DataFrame, right: DataFrame, time: str, value: str, key
 
 
 def _numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Adds ``__n`` from 1; a sequence without keys is numbered in buckets of its order."""
+    if not keys:
+        return ordinals(df, order, (), "__n").withColumn("__n", F.col("__n") + 1)
     return df.withColumn("__n", F.row_number().over(over(keys, *order)))
 
 
@@ -92,10 +98,14 @@ def _backwards(order: Sequence[str]) -> list[Column]:
 
 
 def take_last(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    if not keys:
+        return df.orderBy(*_backwards(order)).limit(n)
     return df.withColumn("__n", F.row_number().over(over(keys, *_backwards(order)))).filter(F.col("__n") <= n).drop("__n")
 
 
 def skip_last(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    if not keys:
+        return _numbered(df, order, ()).filter(F.col("__n") <= df.count() - n).drop("__n")
     return df.withColumn("__n", F.row_number().over(over(keys, *_backwards(order)))).filter(F.col("__n") > n).drop("__n")
 
 
@@ -300,8 +310,12 @@ def amb(df: DataFrame, source: str, time: str, order: Sequence[str]) -> DataFram
 
 
 def group_join(left: DataFrame, right: DataFrame, by: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
-    """Each row of ``left`` with aggregates of all rows of ``right`` that have its key; the right is reduced before the join."""
-    return left.join(right.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()]), list(by), "left")
+    """Each row of ``left`` with aggregates of all rows of ``right`` that have its key (null like null); the right is reduced before the join."""
+    groups = right.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()]).withColumnsRenamed({k: f"__k_{k}" for k in by})
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(groups, cond, "left").drop(*[f"__k_{k}" for k in by])
 
 
 def materialize(df: DataFrame, order: str) -> DataFrame:
@@ -329,3 +343,180 @@ def expand(df: DataFrame, step, depth: int, level: str = "level") -> DataFrame:
         now = step(now.drop(level)).withColumn(level, F.lit(i))
         out = out.unionByName(now)
     return out
+
+
+def cast(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """Every value as the type; one that isn't of it is an error."""
+    return df.withColumn(column, F.col(column).cast(kind))
+
+
+def of_type(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """The rows whose value is of the type."""
+    return df.withColumn(column, F.col(column).try_cast(kind)).filter(F.col(column).isNotNull())
+
+
+def order_by(df: DataFrame, *by: str, name: str = "ord") -> DataFrame:
+    """Adds ``name``: the place of each row from 0 by the columns, further ones among ties; a minus before a column turns it around. Equal rows come in any order."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    kinds = dict(df.dtypes)
+    down = [c.startswith("-") for c in by]
+    plain = [c.removeprefix("-") for c in by]
+    if all(kinds[c] in numbers or not d for c, d in zip(plain, down, strict=True)):
+        held = df.withColumns({f"__o{i}": -F.col(c) if d else F.col(c) for i, (c, d) in enumerate(zip(plain, down, strict=True))})
+        order = [f"__o{i}" for i in range(len(by))]
+        return ordinals(held, order, (), name).drop(*order)
+    from pyspark.sql.window import Window as W
+
+    columns = [F.col(c).desc() if d else F.col(c) for c, d in zip(plain, down, strict=True)]
+    return df.withColumn(name, (F.row_number().over(W.orderBy(*columns)) - 1).cast("long"))
+
+
+def timestamp(df: DataFrame, time: str, name: str = "timestamp") -> DataFrame:
+    """Each row with its time as a timestamp."""
+    return df.withColumn(name, F.timestamp_millis(F.col(time)))
+
+
+def to_list(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``items``: the values of each key in order; the feature is one list a key."""
+    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v"))
+    out = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    return out.select(*keys, F.transform("__items", lambda s: s["v"]).alias("items"))
+
+
+def to_hash_set(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``items``: the distinct values of each key, sorted."""
+    return df.select(*keys, value).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("items"))
+
+
+def to_dictionary(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One map; a key that comes twice is an error."""
+    return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))))).alias("items"))
+
+
+def to_lookup(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+    """A row for each key with the list of its values."""
+    return to_list(df, value, order, [key])
+
+
+def first_or_default(df: DataFrame, order: Sequence[str], **values) -> DataFrame:
+    return default_if_empty(first(df, order), **values)
+
+
+def last_or_default(df: DataFrame, order: Sequence[str], **values) -> DataFrame:
+    return default_if_empty(last(df, order), **values)
+
+
+def element_at_or_default(df: DataFrame, i: int, order: Sequence[str], **values) -> DataFrame:
+    return default_if_empty(element_at(df, i, order), **values)
+
+
+def single_or_default(df: DataFrame, **values) -> DataFrame:
+    return default_if_empty(single(df), **values)
+
+
+def indexed(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``index``, from 0: what indexed selections and filters look at."""
+    return _numbered(df, order, keys).withColumn("index", (F.col("__n") - 1).cast("long")).drop("__n")
+
+
+def _span(df: DataFrame, time: str, keys: Sequence[str]) -> DataFrame:
+    ends = df.groupBy(*keys).agg(F.min(time).alias("__first"), F.max(time).alias("__last")).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(ends, cond).drop(*[f"__k_{k}" for k in keys])
+
+
+def take_for(df: DataFrame, span: int, time: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows less than ``span`` after the first."""
+    return _span(df, time, keys).filter(F.col(time) - F.col("__first") < span).drop("__first", "__last")
+
+
+def skip_for(df: DataFrame, span: int, time: str, keys: Sequence[str] = ()) -> DataFrame:
+    return _span(df, time, keys).filter(F.col(time) - F.col("__first") >= span).drop("__first", "__last")
+
+
+def take_last_for(df: DataFrame, span: int, time: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows less than ``span`` before the last."""
+    return _span(df, time, keys).filter(F.col("__last") - F.col(time) < span).drop("__first", "__last")
+
+
+def skip_last_for(df: DataFrame, span: int, time: str, keys: Sequence[str] = ()) -> DataFrame:
+    return _span(df, time, keys).filter(F.col("__last") - F.col(time) >= span).drop("__first", "__last")
+
+
+def timeout_with(df: DataFrame, fallback: DataFrame, limit: int, time: str, order: Sequence[str], keys: Sequence[str] = (), part: str = "part") -> DataFrame:
+    """Rows before the first gap of more than ``limit`` (part 0), then the fallback's rows of the keys that timed out (part 1)."""
+    gaps = time_interval(df, time, order, keys).groupBy(*keys).agg(F.max("interval").alias("__gap")).filter(F.col("__gap") > limit).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return concat(timeout(df, limit, time, order, keys), fallback.join(gaps, cond, "left_semi"), part=part)
+
+
+def combine_latest_all(sources: dict[str, DataFrame], time: str, value: str, keys: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """At each row of any source, the latest value of all (a column each); rows before all have one are left out. Ties by ``order``, then by the place of the source."""
+    held = list(dict.fromkeys([*keys, time, *order]))
+    every = None
+    for i, (name, df) in enumerate(sources.items()):
+        one = df.select(*held, F.struct(F.col(value).alias("v")).alias(f"__v_{name}"), F.lit(i).alias("__side"))
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    w = over(keys, time, *order, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    latest = every.withColumns({f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(w) for n in sources})
+    whole = F.lit(True)
+    for n in sources:
+        whole = whole & F.col(f"__l_{n}").isNotNull()
+    return latest.filter(whole).select(*held, *[F.col(f"__l_{n}.v").alias(n) for n in sources])
+
+
+def zip_all(sources: dict[str, DataFrame], value: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The n-th values of all sources (a column each), within the keys, as long as all have one."""
+    out = None
+    for name, df in sources.items():
+        one = _numbered(df, order, keys).select(*[F.col(k).alias(f"{k}" if out is None else f"__k_{k}") for k in keys], F.col("__n").alias("__n" if out is None else "__m"), F.col(value).alias(name))
+        if out is None:
+            out = one
+            continue
+        cond = F.col("__n") == F.col("__m")
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        out = out.join(one, cond).drop("__m", *[f"__k_{k}" for k in keys])
+    return out.withColumn("n", (F.col("__n") - 1).cast("long")).drop("__n")
+
+
+def when(*plans: tuple[dict[str, DataFrame], dict[str, Column]], value: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Join patterns: each plan zips its sources and selects from their values; the results of all plans are one sequence."""
+    out = None
+    for sources, columns in plans:
+        one = zip_all(sources, value, order, keys).select(*keys, *[c.alias(n) for n, c in columns.items()])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def group_by_until(df: DataFrame, ends: DataFrame, time: str, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Adds ``group``: a key's group ends with the first row of ``ends`` of that key; what comes at that time or later starts the next one, numbered from 0."""
+    marks = ends.select(*keys, time, F.lit(1).alias("__end"))
+    both = df.withColumn("__end", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    w = over(keys, time).rangeBetween(Window.unboundedPreceding, 0)
+    closed = both.withColumn("__closed", F.sum("__end").over(w)).filter("__end = 0")
+    return closed.withColumn("group", (F.dense_rank().over(over(keys, "__closed")) - 1).cast("long")).drop("__end", "__closed")
+
+
+def union_values(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of both."""
+    return left.unionByName(right).distinct()
+
+
+def intersect_values(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows that both have."""
+    return left.intersect(right.select(*left.columns))
+
+
+def except_values(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of the left that the right doesn't have."""
+    return left.subtract(right.select(*left.columns))
+
+
+def fold(df: DataFrame, value: str, start: Column, step, order: Sequence[str], keys: Sequence[str] = (), name: str = "result") -> DataFrame:
+    """A user's fold over the values of each key in order; the feature reads a key's values one after the other."""
+    return to_list(df, value, order, keys).select(*keys, F.aggregate("items", start, step).alias(name))

@@ -8,14 +8,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tidemark.operators.aggregate import attach_aggregate
 from tidemark.operators.frame import VE, VS, col, over
-from tidemark.operators.running import neighbours
+from tidemark.operators.running import neighbours, ordinals
 
 #: Threshold factors that the peak detector tries (fixed values).
-FACTORS = (1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.35, 1.4, 1.45, 1.5, 1.55, 1.6, 1.7, 1.8, 1.9, 2.0, 2.5, 3.0)
+FACTORS = (1.05, 1.10, 1.15, 1.20, 1.25, 1.30, 1.40, 1.50, 1.60, 1.70, 1.80, 1.90, 2.00, 2.10, 2.20, 2.50, 3.00, 4.00)
+#: Samples that a task filters at a time.
+FILTER_BLOCK = 200_000
 
 
 def with_next(df: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
@@ -153,15 +156,24 @@ def band_pass_taps(period: int, low: float, high: float, order: int = 150) -> np
 def band_pass(df: DataFrame, period: int, low: float, high: float, keys: Sequence[str] = (), order: int = 150, value: str = "val") -> DataFrame:
     """Causal FIR over the samples of each key in their order: y(i) = sum of taps(j) * x(i - j), before the first sample 0.
 
-    Built-in only: the last ``order`` + 1 samples are gathered by a row frame
-    and multiplied with the taps, so a state crosses windows without a loop.
+    Samples are numbered and dealt to blocks of ``FILTER_BLOCK``, each with the
+    ``order`` samples before it, so neither a hot key nor a signal without keys
+    is one task, and a state crosses windows without a loop. A null counts as 0.
     """
-    taps = F.array(*[F.lit(float(t)) for t in band_pass_taps(period, low, high, order)[::-1]])
-    past = F.collect_list(F.col(value).cast("double")).over(over(keys, VS).rowsBetween(-order, 0))
-    held = df.withColumn("__past", past)
-    used = F.slice(taps, order + 2 - F.size("__past"), F.size("__past"))
-    dot = F.aggregate(F.zip_with(used, F.col("__past"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return held.withColumn(value, dot).drop("__past")
+    taps, names = band_pass_taps(period, low, high, order), df.columns
+    numbered = ordinals(df, [VS], keys, "__n")
+    block = F.floor(F.col("__n") / FILTER_BLOCK)
+    ahead = F.pmod(F.col("__n"), F.lit(FILTER_BLOCK)) >= FILTER_BLOCK - order
+    dealt = numbered.withColumn("__block", F.explode(F.when(ahead, F.array(block, block + 1)).otherwise(F.array(block)))).withColumn("__own", F.col("__block") == block)
+    schema = StructType([f if f.name != value else StructField(value, DoubleType()) for f in df.schema.fields])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__n", kind="stable")
+        x = group[value].to_numpy(np.float64, na_value=0.0)
+        group[value] = np.convolve(np.nan_to_num(x), taps)[: len(x)]
+        return group.loc[group["__own"], names]
+
+    return dealt.groupBy(*keys, "__block").applyInPandas(run, schema)
 
 
 def above_mean_runs(df: DataFrame, period: int, factor: str | Column | float, window: int, keys: Sequence[str], value: str = "val") -> DataFrame:
@@ -180,31 +192,40 @@ def peaks(df: DataFrame, period: int, factor: float, window: int = 400, keys: Se
     return best.select(*keys, "top.*")
 
 
-def peaks_rr(df: DataFrame, period: int, rr_window: int, mean_window: int = 400, bpm_min: float = 40, bpm_max: float = 180, keys: Sequence[str] = (), factors: Sequence[float] = FACTORS, value: str = "val") -> DataFrame:
-    """Peaks under the factor whose intervals deviate least in each window.
+def peaks_rr(df: DataFrame, period: int, rr_window: int, mean_window: int = 400, bpm_min: float = 40, bpm_max: float = 180, keys: Sequence[str] = (), factors: Sequence[float] = FACTORS, value: str = "val", gap_tol: int | None = None) -> DataFrame:
+    """Peaks under the factor whose intervals deviate least in each window (b - rr_window, b].
 
-    For every factor, peaks and their intervals (to the next peak) are found;
-    windows count with a deviation over 0.1 and a plausible rate. Of the
-    factors the one with the least deviation is chosen, among windows that the
-    first factor has; intervals too far from the window's mean go, and the last
-    peak of a window stays. The factors are a constant array: samples are
+    For every factor, peaks and their intervals to the next peak (those of
+    ``gap_tol`` at most, if it is given) are found; windows count with a sample
+    deviation over 0.1 and a plausible rate. Of the factors the one with the
+    least deviation is chosen (the last of equals), among windows that the first
+    factor has. Peaks stay whose interval is near the window's mean, and the
+    peak that ends the last interval; only those before b, as a sample at b lies
+    in no common lifetime. The factors are a constant array: samples are
     repeated by them, not joined.
     """
     many = df.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
     by = [*keys, "factor"]
-    found = peaks_with(many, period, mean_window, by, value)
     w = over(by, VS)
-    rr = found.withColumn("rr", F.lead(VS).over(w) - F.col(VS)).filter("rr is not null").withColumn("window", F.floor(F.col(VS) / rr_window))
-    stats = rr.groupBy(*by, "window").agg(F.stddev_pop("rr").alias("std"), F.avg("rr").alias("mean"), F.count(F.lit(1)).alias("n"))
+    rr = peaks_with(many, period, mean_window, by, value).withColumn("__to", F.lead(VS).over(w)).withColumn("rr", F.col("__to") - F.col(VS)).filter("rr is not null")
+    if gap_tol is not None:
+        rr = rr.filter(F.col("rr") <= gap_tol)
+    rr = rr.withColumn("__b", F.col(VS) + F.pmod(-F.col(VS), F.lit(rr_window)))
+    stats = rr.groupBy(*by, "__b").agg(F.stddev_samp("rr").alias("std"), F.avg("rr").alias("mean"), F.count(F.lit(1)).alias("n"))
     fit = stats.filter((F.col("std") > 0.1) & (F.col("n") * 60000.0 / rr_window).between(bpm_min, bpm_max))
-    seeded = fit.groupBy(*keys, "window").agg(F.min_by(F.struct("factor", "mean"), F.struct("std", "factor")).alias("best"), F.min("factor").alias("first")).filter(F.col("first") == float(factors[0]))
-    chosen = seeded.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("window").alias("__window"), "best.*").withColumnRenamed("factor", "__factor")
-    cond = (F.col("window") == F.col("__window")) & (F.col("factor") == F.col("__factor"))
+    seeded = fit.groupBy(*keys, "__b").agg(F.min_by(F.struct("factor", "mean"), F.struct(F.col("std"), (-F.col("factor")).alias("later"))).alias("best"), F.min("factor").alias("first")).filter(F.col("first") == float(factors[0]))
+    chosen = seeded.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__window"), F.col("best.factor").alias("__factor"), F.col("best.mean").alias("__mean"))
+    cond = (F.col("__b") == F.col("__window")) & (F.col("factor") == F.col("__factor"))
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    picked = rr.join(chosen, cond).drop("__window", "__factor", *[f"__{k}" for k in keys])
-    last = F.max(VS).over(Window.partitionBy(*[F.col(k) for k in keys], F.col("window"))) == F.col(VS)
-    return picked.withColumn("__last", last).filter((F.abs(F.col("rr") - F.col("mean")) <= F.greatest(F.col("mean") * 0.3, F.lit(300.0))) | F.col("__last")).select(*keys, VS, VE, value, "rr", "factor")
+    picked = rr.join(chosen, cond).select(*keys, F.col(VS).alias("__at"), "__to", "rr", "__b", "__mean")
+    near = F.abs(F.col("rr") - F.col("__mean")) < F.greatest(F.col("__mean") * 0.3, F.lit(300.0))
+    kept = picked.filter(near).select(*keys, "__at", "__b").union(picked.groupBy(*keys, "__b").agg(F.max("__to").alias("__at")).select(*keys, "__at", "__b")).filter("__at < __b").distinct()
+    names = kept.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.col(VS) == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(names, same).select(*keys, VS, F.least(F.col(VS) + period, F.col("__b")).alias(VE), value)
 
 
 def peaks_with(df: DataFrame, period: int, window: int, by: Sequence[str], value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import aggregates, joins, lifetimes, patterns, sequences, signals
+from tidemark.plans import aggregates, creation, functions, joins, lifetimes, patterns, sequences, signals, wider
 from tidemark.plans.tables import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "joins", "lifetimes", "patterns", "sequences", "signals"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "creation", "functions", "joins", "lifetimes", "patterns", "sequences", "signals", "wider"]

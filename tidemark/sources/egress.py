@@ -25,6 +25,17 @@ def edges(df: DataFrame) -> DataFrame:
     return df.select(*payload, F.inline(both))
 
 
+def reshape(edge_rows: DataFrame, payload: list[str], policy: str = "none") -> DataFrame:
+    """Edges as they are (``none``), or each start with its end as one interval (``coalesce``)."""
+    from tidemark.sources.ingress import from_edges
+
+    if policy == "none":
+        return edge_rows
+    if policy == "coalesce":
+        return from_edges(edge_rows, "time", "is_end", payload).select(*payload, VS, VE)
+    raise ValueError(f"no policy {policy!r}")
+
+
 def payloads(df: DataFrame) -> DataFrame:
     return df.drop(VS, VE)
 

@@ -85,3 +85,51 @@ def late_rows(df: DataFrame, arrival: str, policy: str = "drop", latency: int =
     seen = with_progress(df, arrival, latency, keys).filter(F.col(VS) < F.col("progress"))
     stays = (F.lit(policy) == "adjust") & (F.col("progress") < F.col(VE))
     return seen.withColumn("moved_by", F.when(stays, F.col("progress") - F.col(VS))).drop("progress")
+
+
+def punctuations(df: DataFrame, arrival: str, period: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The progress marks of a periodic policy: where a row's time reaches a later multiple of ``period`` than all before it, that multiple, with the row's ``arrival``."""
+    seen = with_progress(df, arrival, 0, keys)
+    reached = F.col(VS) - F.pmod(F.col(VS), F.lit(period))
+    before = F.col("progress") - F.pmod(F.col("progress"), F.lit(period))
+    return seen.filter(F.coalesce(reached > before, F.lit(True))).select(*keys, arrival, reached.alias("mark"))
+
+
+def flushed(df: DataFrame, arrival: str, marks: DataFrame, policy: str = "on_punctuation", batch: int = 80_000) -> DataFrame:
+    """Adds ``flush``: the arrival at which a row leaves the system. ``on_punctuation``: with the first mark that follows it; ``on_batch``: with the last row of its batch; ``none``: at the end (null)."""
+    match policy:
+        case "none":
+            return df.withColumn("flush", F.lit(None).cast("long"))
+        case "on_batch":
+            return df.withColumn("flush", (F.floor(F.col(arrival) / batch) + 1) * batch - 1)
+        case "on_punctuation":
+            both = df.withColumn("__mark", F.lit(0)).unionByName(marks.select(F.col(arrival), F.lit(1).alias("__mark")), allowMissingColumns=True)
+            cut = bucketed(both, arrival, ())
+            later = F.min(F.when(F.col("__mark") == 1, F.col(arrival)))
+            inside = later.over(Window.partitionBy("bucket").orderBy(arrival).rangeBetween(1, Window.unboundedFollowing))
+            firsts = cut.groupBy("bucket").agg(later.alias("__first"))
+            carry = firsts.select(F.col("bucket").alias("__bucket"), F.min("__first").over(Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+            met = cut.withColumn("__in", inside).join(carry, F.col("bucket") == F.col("__bucket"), "left").filter("__mark = 0")
+            return met.select(*df.columns, F.coalesce("__in", "__after").alias("flush"))
+    raise ValueError(f"no policy {policy!r}")
+
+
+def completed(df: DataFrame, progress: int, policy: str = "end_of_stream") -> DataFrame:
+    """The results that a query gives when its input ends at ``progress``: only those that were final (``none``), those that had begun, cut at the progress (``flush``), or all (``end_of_stream``)."""
+    match policy:
+        case "none":
+            return df.filter(F.col(VE) <= progress)
+        case "flush":
+            return valid(df.filter(F.col(VS) < progress).withColumn(VE, F.least(F.col(VE), F.lit(progress))))
+        case "end_of_stream":
+            return df
+    raise ValueError(f"no policy {policy!r}")
+
+
+def route(df: DataFrame, routes: dict[str, Column]) -> dict[str, DataFrame]:
+    """Rows by the first of the conditions that they meet; what meets none is under ``""``."""
+    place = F.lit("")
+    for name, condition in reversed(routes.items()):
+        place = F.when(condition, F.lit(name)).otherwise(place)
+    routed = df.withColumn("__route", place)
+    return {name: routed.filter(F.col("__route") == name).drop("__route") for name in (*routes, "")}

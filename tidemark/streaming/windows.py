@@ -22,25 +22,31 @@ def with_lateness(df: DataFrame, time: str, latency: int) -> DataFrame:
     return df.withWatermark(time, ms(latency))
 
 
-def _bounds(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
-    bounds = [F.unix_millis(F.col(f"window.{side}").cast("timestamp")).alias(name) for side, name in (("start", "vs"), ("end", "ve"))]
-    return df.select(*keys, *bounds, *aggregates)
-
-
 def hopping(df: DataFrame, time: str, size: int, period: int, aggregates: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Aggregates of all windows of ``size`` ms, one every ``period`` ms, as ``[vs, ve)`` in ms."""
-    window = F.window(time, ms(size), ms(period)).alias("window")
-    return _bounds(df.groupBy(*keys, window).agg(*[c.alias(n) for n, c in aggregates.items()]), keys, aggregates)
+    """At each hop b (every ``period`` ms), aggregates of the rows in (b - size, b], valid ``[b, b + period)`` in ms, as the batch operator.
+
+    Spark's windows are [start, start + size); one ms later they are (b - size, b].
+    """
+    window = F.window(time, ms(size), ms(period), ms(1)).alias("window")
+    out = df.groupBy(*keys, window).agg(*[c.alias(n) for n, c in aggregates.items()])
+    hop = F.unix_millis(F.col("window.end").cast("timestamp")) - 1
+    return out.select(*keys, hop.alias("vs"), (hop + period).alias("ve"), *aggregates)
 
 
 def tumbling(df: DataFrame, time: str, size: int, aggregates: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Aggregates of the rows in (b - size, b], valid ``[b, b + size)``."""
     return hopping(df, time, size, size, aggregates, keys)
 
 
 def session(df: DataFrame, time: str, timeout: int, aggregates: dict[str, Column], keys: Sequence[str]) -> DataFrame:
-    """Aggregates of runs of rows that are less than ``timeout`` ms apart; a run ends ``timeout`` after its last row."""
-    window = F.session_window(time, ms(timeout)).alias("window")
-    return _bounds(df.groupBy(*keys, window).agg(*[c.alias(n) for n, c in aggregates.items()]), keys, aggregates)
+    """Aggregates of runs of rows that are less than ``timeout`` ms apart; a run ends ``timeout`` after its last row.
+
+    Spark merges rows that are just its gap apart, so its gap is one ms less.
+    """
+    window = F.session_window(time, ms(timeout - 1)).alias("window")
+    out = df.groupBy(*keys, window).agg(*[c.alias(n) for n, c in aggregates.items()])
+    start, end = (F.unix_millis(F.col(f"window.{side}").cast("timestamp")) for side in ("start", "end"))
+    return out.select(*keys, start.alias("vs"), (end + 1).alias("ve"), *aggregates)
 
 
 def distinct(df: DataFrame, by: Sequence[str]) -> DataFrame:
