@@ -29,7 +29,7 @@ def rows():
     for f in range(4):
         part = []
         for i in range(25):
-            vs = 1000 * f + draw.randrange(0, 1000, 10)
+            vs = 10_000 + 1000 * f + draw.randrange(0, 1000, 10)  # at 0 a row would be late from the start
             part.append((draw.choice("ab"), 100 * f + i, vs, vs + draw.choice([10, 40, 300, 1500]), float(draw.randrange(9)), draw.choice("lr")))
         files.append(part)
     files.append([(k, 900 + i, 90_000, 90_010, 0.0, s) for i, (k, s) in enumerate([("a", "l"), ("b", "l"), ("a", "r"), ("b", "r")])])
