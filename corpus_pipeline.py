@@ -5,37 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import langid, neardup, packing, quality, substrings
-from tidemark.llm.common import Scratch, read_table
+from tidemark.llm.common import Scratch, read_table, shrink_heaps
 from tidemark.plans.ship import ship
 
 
+def ready(spark: SparkSession) -> None:
+    """Workers have the package, and executors have given back what the stage before left in their heaps."""
+    ship(spark)
+    shrink_heaps(spark)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified and not rejected."""
-    ship(spark)
+    ready(spark)
     return langid.keep_identified(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their script's fertility bands."""
-    ship(spark)
+    ready(spark)
     return quality.keep_good(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: five-word shingles, similarity of 0.8 or more."""
-    ship(spark)
+    ready(spark)
     return neardup.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings that also start in a document of smaller doc_id."""
-    ship(spark)
+    ready(spark)
     return substrings.dedup(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 4096 tokens."""
-    ship(spark)
+    ready(spark)
     return packing.pack(docs)
 
 

@@ -68,7 +68,7 @@ def percentile_continuous(x: X, p: float) -> Column:
 
 
 def percentile_discrete(x: X, p: float) -> Column:
-    """The element number ceil(p * n), the least one for p = 0; from counts of distinct values, if ``x`` is a name."""
+    """The element number ceil(p * n), the least one for p = 0; a double from counts of distinct values, if ``x`` is a name."""
     if isinstance(x, str):
         return F.expr(f"percentile_disc({float(p)}D) WITHIN GROUP (ORDER BY `{x}`)")
     return F.element_at(F.array_sort(F.collect_list(x)), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.count(x))).cast("int"))

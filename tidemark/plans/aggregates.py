@@ -27,7 +27,7 @@ def agg_snapshot_count(spark, d):
 
 @query(f", {SEGMENTS} SELECT s AS vs, e AS ve, max(cents) AS top, min(cents) AS low FROM seg JOIN ev ON ev.vs < e AND ev.ve > s GROUP BY s, e")
 def agg_snapshot_max(spark, d):
-    return G.snapshot(ev(spark, d), {"top": A.max_("cents"), "low": A.min_("cents")})
+    return G.snapshot_partials(ev(spark, d), {"top": ("max", "cents"), "low": ("min", "cents")})
 
 
 @query(f"""SELECT (vs + {DAY - 1}) // {DAY} * {DAY} AS vs, (vs + {DAY - 1}) // {DAY} * {DAY} + {DAY} AS ve, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total,
@@ -43,7 +43,7 @@ def agg_tumbling_all(spark, d):
             "var": A.population_variance("cents"), "p30": A.percentile_continuous("cents", 0.3), "d60": A.percentile_discrete("cents", 0.6), "last_id": A.max_("event_id", "at"),
         },
     )
-    return rounded(out, "mean", "dev", "var", "p30")
+    return rounded(out.withColumn("d60", F.col("d60").cast("bigint")), "mean", "dev", "var", "p30")
 
 
 @query(f"""SELECT b AS vs, b + {2 * HOUR} AS ve, event_type, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM (

@@ -86,9 +86,9 @@ SELECT *, lead(vs) OVER (PARTITION BY user_id ORDER BY vs) AS n, avg(val) OVER (
 
 
 @query(f""", {fill_mean_sql('sig', 'filled')}, slow AS (SELECT user_id, vs, {NORM} AS val FROM ({resampled('filled')})), fast AS (SELECT user_id, vs, vs + {HOUR} AS ve, {NORM} AS val FROM filled)
-SELECT f.user_id, f.vs, f.ve, round(f.val, 4) AS val, round(s.val, 4) AS r_val FROM fast f JOIN slow s ON f.user_id = s.user_id AND f.vs = s.vs""")
+SELECT f.user_id, f.vs, f.ve, round(f.val, 4) + 0.0 AS val, round(s.val, 4) + 0.0 AS r_val FROM fast f JOIN slow s ON f.user_id = s.user_id AND f.vs = s.vs""")
 def sig_e2e(spark, d):
     s = sig(spark, d)
     filled = W.fill_mean(s, DAY, HOUR, 12 * HOUR, K)
     slow = W.normalize(W.resample(filled, HOUR, HOUR // 2, 12 * HOUR, K), DAY, K)
-    return rounded(W.grid_join(W.normalize(filled, DAY, K), slow, HOUR // 2, K), "val", "r_val").select("user_id", "vs", "ve", "val", "r_val")
+    return rounded(W.grid_join(W.normalize(filled, DAY, K), slow, HOUR // 2, K), "val", "r_val").select("user_id", "vs", "ve", *[(F.col(c) + 0.0).alias(c) for c in ("val", "r_val")])
