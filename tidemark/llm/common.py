@@ -89,11 +89,21 @@ class Scratch:
         return self.hadoop_path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def release(self) -> None:
-        """Shuffle files go once the driver's JVM collects the plans that made them."""
+        """Shuffle files go once the driver's JVM collects the plans that made them; executors give unused heap back."""
         import gc
 
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        shrink_heaps(self.spark)
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, after which a JVM returns heap that it doesn't use.
+
+    A step's sorts leave a heap at its limit; the Python workers of the next step live beside it, in the same container.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
 
 def held_out(key: Column, modulus: int, remainder: int) -> Column:

@@ -466,6 +466,7 @@ def similar_links(docs: DataFrame, owners: DataFrame, prints: DataFrame, scratch
     pairs = near_pairs(prints, scratch, tables, radius)
     links = similar_pairs(pairs, docs, scratch, words, similarity)
     scratch.drop(pairs)
+    scratch.release()
     entries = shared_entries(docs, scratch, words, similarity)
     shared = entries.join(owners, "doc_id").select("shingle", F.col("owner").alias("doc_id"), "size", "place").distinct()
     groups = connected_components(links, scratch)
@@ -473,12 +474,14 @@ def similar_links(docs: DataFrame, owners: DataFrame, prints: DataFrame, scratch
     scratch.drop(entries)
     mixed = scratch.save(mixed_lists(rooted))
     scratch.drop(rooted)
+    scratch.release()
     hubs = scratch.save(hub_pairs(mixed, similarity))
     links = scratch.save(links.union(similar_pairs(hubs, docs, scratch, words, similarity)))
     scratch.drop(hubs)
     left = mixed_lists(with_roots(mixed.drop("root"), connected_components(links, scratch)))
     rest = scratch.save(left.repartition("shingle").mapInArrow(all_pairs(similarity), "a long, b long").distinct())
     scratch.drop(mixed)
+    scratch.release()
     return scratch.save(links.union(similar_pairs(rest, docs, scratch, words, similarity)))
 
 
