@@ -35,8 +35,8 @@ from tidemark.llm.common import Scratch, chunks, utf8
 
 CAPACITY = 4096
 END_ID = 1
-CHUNK = 2 << 20
-MEMO = 300_000
+CHUNK = 4 << 20
+MEMO = 700_000
 #: Ranks are counted within (length, salt). A salt holds about this many rows of a length, or so many more that there are about MOST_SALTS.
 ROWS_PER_SALT, MOST_SALTS = 500, 100_000
 #: Pre-tokenisation of the public word vocabulary (a fixed value).
