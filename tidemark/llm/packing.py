@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,11 @@ MARKS = frozenset(bytes([c]) for c in b".,;:!?|)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def simple(text: str) -> bool:
+    """One pre-token that stays as it is: lower-case letters, composed."""
+    return text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text)
+
+
 class WordLevel:
     """Texts to ids of the word vocabulary: white space dropped, NFC, lower case."""
 
@@ -57,8 +63,6 @@ class WordLevel:
     def parts(self, word: bytes) -> list[bytes | int]:
         """Pre-tokens of a word in UTF-8; an int is a special id."""
         text = word.decode("utf-8", "replace")
-        if "<|" not in text and text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text):
-            return [word]
         out: list[bytes | int] = []
         for x in self.special.split(text):
             if x in self.bpe.special:
@@ -78,6 +82,10 @@ class WordLevel:
                 plain.append((w, number(w, len(pieces))))
             elif (head := w[:-1]).isalpha() and w[-1:] in MARKS and head.islower():
                 marked.append((w, number(head, len(pieces)), number(w[-1:], len(pieces))))
+            elif simple(text := w.decode("utf-8", "replace")):
+                plain.append((w, number(w, len(pieces))))
+            elif w[-1:] in MARKS and simple(text[:-1]):
+                marked.append((w, number(w[:-1], len(pieces)), number(w[-1:], len(pieces))))
             else:
                 other.append((w, [p if type(p) is int else ~number(p, len(pieces)) for p in self.parts(w)]))
         ids, n = self.bpe.encode(list(pieces))
@@ -99,8 +107,8 @@ class WordLevel:
             repeated = Counter(w for row in rows for w in row)
             self.memo = {w: self.memo[w] for w, c in repeated.items() if c > 1 and w in self.memo}
         memo = self.memo
-        if new := list({w for row in rows for w in row if w not in memo}):
-            self.learn(new)
+        if new := set(chain.from_iterable(rows)).difference(memo):
+            self.learn(list(new))
         get = memo.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
