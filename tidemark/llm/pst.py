@@ -1,19 +1,21 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are the frequent words (at least ``CONTEXT_SHARE`` of the training
-tokens), one for all other words, the end of a text, and its beginning.
-Contexts are the symbols before a token, up to ``DEPTH`` of them. A context
-that makes up ``CONTEXT_SHARE`` of the tokens is retained if its next-symbol
-distribution diverges from that of its suffix by more than the cost of the
-distribution. The longest retained suffix of what precedes a token is its
-state; its distribution is smoothed by that of the state's own suffix. A word
-that isn't frequent has its class's probability times its add-one share of the
-class, for which its count in the whole training corpus is looked up.
-
-The shares bound the tree: at most 1 / CONTEXT_SHARE contexts a depth and
-1 / NEXT_SHARE next-symbol entries a depth, whatever the corpus. The counts of
-all words grow with the corpus: they are never broadcast but travel by shuffle
-to the part of the documents that needs them.
+Symbols are the words that training has at least ``CONTEXT_SCALE`` times the
+square root of its N tokens of, one for all other words, the end of a text, and
+its beginning. Contexts are the symbols before a token, up to ``DEPTH`` of them.
+A context seen so often is retained if its next-symbol distribution diverges
+from that of its suffix by more than the cost of the distribution; next symbols
+count from ``NEXT_SCALE`` times that root. The longest retained suffix of what
+precedes a token is its state; its distribution is smoothed by that of the
+state's own suffix. A word that isn't frequent has its class's probability times
+its add-one share of the class, for which its count in the whole training corpus
+is looked up.
+
+So the tree grows with the corpus, as its square root: at most sqrt(N) /
+CONTEXT_SCALE contexts and sqrt(N) / NEXT_SCALE next-symbol entries a depth,
+which is the bound of what the driver gathers and tasks are sent (at 5e9 tokens
+1.4 and 14 million). The counts of all words grow in full: they are never
+broadcast but travel by shuffle to the part of the documents that needs them.
 
 Defined cases: a null or empty text is just an end; without any training text
 every count is 0.
@@ -21,6 +23,7 @@ every count is 0.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,9 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, Scratch, chunks, held_out, utf8
+from tidemark.llm.common import Memo, Scratch, chunks, held_out, release_memory, shrink, utf8
+from tidemark.llm.common import grow as unshrink
 
-CONTEXT_SHARE, NEXT_SHARE, DEPTH = 1e-4, 1e-5, 3
+CONTEXT_SCALE, NEXT_SCALE, DEPTH = 0.05, 0.005, 3
+#: Odd multiplier of the codes of contexts, which are 64-bit hashes of their symbols.
+MULTIPLIER = np.int64(0x5851F42D4C957F2D)
 DISCOUNT = 0.5
 #: Bytes of text of the parts that documents are dealt to for their words' counts.
 PART_BYTES = 24 << 20
@@ -77,6 +83,11 @@ def word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def extend(code: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Codes of contexts with one more symbol at their end, modulo 2**64."""
+    return code * MULTIPLIER + (symbol + np.int64(1))
+
+
 @dataclass
 class Symbols:
     """Numbers: the frequent words in order of their hashes, then rare, end, begin."""
@@ -118,33 +129,54 @@ class Symbols:
         """Code of the ``depth`` symbols before each token, oldest first."""
         code = np.zeros(len(tokens), np.int64)
         for k in range(depth, 0, -1):
-            code = code * self.base + row[tokens - k]
+            code = extend(code, row[tokens - k])
         return code
 
 
-def next_counter(symbols: Symbols, contexts: np.ndarray, depth: int):
-    """Counts of (context, next symbol) for the given sorted context codes."""
+def symbol_rows(symbols: Symbols):
+    """The symbols of all texts of a chunk in a row, each text with its begin and end, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(symbols.of)
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def fold(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64)
-
         for batch in chunks(batches):
             memo.refresh()
-            row, tokens, inside, _ = symbols.rows([words(t) for t in utf8(batch)], memo)
-            tokens = tokens[inside >= depth]
-            code = symbols.context(row, tokens, depth)
-            at = np.minimum(np.searchsorted(contexts, code), len(contexts) - 1)
-            hit = contexts[at] == code
-            key, n = np.unique(at[hit] * symbols.base + row[tokens[hit]], return_counts=True)
-            keys, counts = fold(np.concatenate([keys, key]), np.concatenate([counts, n]))
-        if len(keys):
-            at, nxt = np.divmod(keys, symbols.base)
-            yield pa.RecordBatch.from_arrays([pa.array(contexts[at]), pa.array(nxt.astype(np.int32)), pa.array(counts)], names=["context", "next", "n"])
+            row = symbols.rows([words(t) for t in utf8(batch)], memo)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([shrink(row)], pa.binary())], names=["symbols"])
+
+    return run
+
+
+def fold(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
+
+
+def next_counter(symbols: Symbols, contexts: np.ndarray, depth: int):
+    """Counts of (number of the context, next symbol) in rows of symbols, for the given sorted context codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        keys, counts, waiting = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for batch in batches:
+            for data in batch.column("symbols").to_pylist():
+                row = unshrink(data, np.int32)
+                begin = np.flatnonzero(row == symbols.begin)
+                inside = np.arange(len(row)) - np.repeat(begin, np.diff(begin, append=len(row)))
+                tokens = np.flatnonzero(inside >= depth)
+                code = symbols.context(row, tokens, depth)
+                at = np.minimum(np.searchsorted(contexts, code), len(contexts) - 1)
+                hit = contexts[at] == code
+                key, n = np.unique(at[hit] * np.int64(symbols.base) + row[tokens[hit]], return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                waiting += len(key)
+                if waiting > max(len(keys[0]), 1 << 18):
+                    key, n = fold(keys, counts)
+                    keys, counts, waiting = [key], [n], 0
+        key, n = fold(keys, counts)
+        for i in range(0, len(key), 1 << 18):
+            at, nxt = np.divmod(key[i : i + (1 << 18)], symbols.base)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(nxt.astype(np.int32)), pa.array(n[i : i + (1 << 18)])], names=["context", "next", "n"])
 
     return run
 
@@ -154,6 +186,8 @@ class Tree:
     symbols: Symbols
     tokens: int
     kinds: int
+    #: Count of each frequent word.
+    counts: np.ndarray
     #: log10 probability of each symbol without context.
     root: np.ndarray
     #: Per depth from 1: sorted codes of the retained contexts, log10 weight of their suffix's distribution.
@@ -190,63 +224,72 @@ class Tree:
         return out
 
 
-def grow(tree: Tree, depth: int, counts: dict[int, tuple[int, dict[int, int]]]) -> None:
-    """Add a depth: retain the contexts whose counts (total, by next symbol) diverge from what their suffix says.
+def grow(tree: Tree, codes: np.ndarray, members: np.ndarray, totals: np.ndarray, at: np.ndarray, nxt: np.ndarray, n: np.ndarray) -> None:
+    """Add a depth: retain the contexts whose counts diverge from what their suffix says.
 
-    A context pays for its entries by log(total) / 2 each, the usual price of
-    a parameter; its gain is total times the divergence.
+    ``codes`` (sorted), ``members`` (their symbols, a row each) and ``totals``
+    are of the contexts, ``at``, ``nxt`` and ``n`` (sorted) of their next
+    symbols. A context pays for its entries by log(total) / 2 each, the usual
+    price of a parameter; its gain is total times the divergence.
     """
-    base = tree.symbols.base
-    kept = []
-    for code in sorted(counts):
-        total, after = counts[code]
-        context, rest = [], code
-        for _ in range(depth):
-            rest, s = divmod(rest, base)
-            context.insert(0, s)
-        own = {s: max(n - DISCOUNT, 0) / total for s, n in after.items()}
-        weight = max(1 - sum(own.values()), 1e-12)
-        nxt = np.array(sorted(own), np.int32)
-        row = np.concatenate([np.tile(np.array(context[1:], np.int32), (len(nxt), 1)), nxt[:, None]], 1).ravel() if len(nxt) else np.empty(0, np.int32)
-        tokens = np.arange(len(nxt)) * depth + depth - 1
-        below = 10 ** tree.log_probs(row, tokens, np.full(len(nxt), depth - 1), depth - 1)
-        p = np.array([own[s] for s in nxt.tolist()]) + weight * below
-        n = np.array([after[s] for s in nxt.tolist()], np.float64)
-        left = max(total - n.sum(), 0)
-        gain = float((n * np.log(p / below)).sum() + left * np.log(weight))
-        if len(nxt) and gain > 0.5 * (len(nxt) + 1) * np.log(total + 1):
-            kept.append((code, np.log10(weight), nxt, np.log10(p)))
-    tree.codes.append(np.array([k[0] for k in kept], np.int64))
-    tree.weights.append(np.array([k[1] for k in kept]))
-    entries = [i * base + k[2].astype(np.int64) for i, k in enumerate(kept)]
-    tree.entries.append(np.concatenate(entries) if entries else np.empty(0, np.int64))
-    tree.probabilities.append(np.concatenate([k[3] for k in kept]) if kept else np.empty(0))
-
-
-def train(docs: DataFrame, frequent: dict[int, int], n_texts: int, tokens: int, kinds: int, context_share: float, next_share: float, max_depth: int) -> Tree:
-    """The tree of the training texts ``docs`` (text). ``frequent``: counts of the frequent words by hash."""
-    symbols = Symbols(np.array(sorted(frequent), np.int64))
+    size, depth = len(codes), members.shape[1]
+    own = np.maximum(n - DISCOUNT, 0) / totals[at]
+    weight = np.maximum(1 - np.bincount(at, own, size), 1e-12)
+    row = np.concatenate([members[at, 1:], nxt[:, None]], 1).ravel()
+    below = 10 ** tree.log_probs(row, np.arange(len(nxt)) * depth + depth - 1, np.full(len(nxt), depth - 1), depth - 1)
+    p = own + weight[at] * below
+    left = np.maximum(totals - np.bincount(at, n, size), 0)
+    gain = np.bincount(at, n * np.log(p / below), size) + left * np.log(weight)
+    entries = np.bincount(at, minlength=size)
+    keep = (entries > 0) & (gain > 0.5 * (entries + 1) * np.log(totals + 1))
+    number = np.cumsum(keep) - 1
+    kept = keep[at]
+    tree.codes.append(codes[keep])
+    tree.weights.append(np.log10(weight[keep]))
+    tree.entries.append(number[at[kept]] * tree.symbols.base + nxt[kept].astype(np.int64))
+    tree.probabilities.append(np.log10(p[kept]))
+
+
+def least_count(scale: float, tokens: int) -> int:
+    return max(2, math.ceil(scale * math.sqrt(tokens)))
+
+
+def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    table = df.select(*names).toArrow()
+    return [table.column(name).to_numpy() for name in names]
+
+
+def train(docs: DataFrame, scratch: Scratch, frequent: tuple[np.ndarray, np.ndarray], n_texts: int, tokens: int, kinds: int, least: int, least_next: int, max_depth: int) -> Tree:
+    """The tree of the training texts ``docs`` (text). ``frequent``: hashes and counts of the frequent words."""
+    order = np.argsort(frequent[0])
+    symbols, counts = Symbols(frequent[0][order]), frequent[1][order]
     p = np.zeros(symbols.base)
-    for i, h in enumerate(symbols.hashes.tolist()):
-        p[i] = (frequent[h] + 1) / (tokens + kinds + 1)
+    p[: symbols.rare] = (counts + 1) / (tokens + kinds + 1)
     p[symbols.end] = (n_texts + 1) / (tokens + kinds + 1)
     p[symbols.rare] = max(1 - p.sum(), 1e-12)
     p[symbols.begin] = 1e-12
-    tree = Tree(symbols, tokens, kinds, np.log10(p), [], [], [], [])
-    least = max(2, context_share * tokens)
-    totals = {symbols.begin: n_texts, symbols.rare: tokens - n_texts - sum(frequent.values())} | {i: frequent[h] for i, h in enumerate(symbols.hashes.tolist())}
-    totals = {c: n for c, n in totals.items() if n >= least}
+    tree = Tree(symbols, tokens, kinds, counts, np.log10(p), [], [], [], [])
+    members = np.concatenate([np.arange(symbols.rare), [symbols.rare, symbols.begin]]).astype(np.int32)[:, None]
+    totals = np.concatenate([counts, [tokens - n_texts - counts.sum(), n_texts]])
+    rows = scratch.save(docs.select("text").mapInArrow(symbol_rows(symbols), "symbols binary"))
     for depth in range(1, max_depth + 1):
-        if not totals:
+        often = totals >= least
+        members, totals = members[often], totals[often]
+        if not len(totals):
             break
-        contexts = np.array(sorted(totals), np.int64)
-        counted = docs.select("text").mapInArrow(next_counter(symbols, contexts, depth), "context long, next int, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
-        rows = counted.filter(F.col("n") >= max(2, next_share * tokens)).collect()
-        by: dict[int, tuple[int, dict[int, int]]] = {c: (n, {}) for c, n in totals.items()}
-        for r in rows:
-            by[r["context"]][1][r["next"]] = r["n"]
-        grow(tree, depth, by)
-        totals = {r["context"] * symbols.base + r["next"]: r["n"] for r in rows if r["n"] >= least and r["next"] != symbols.end}
+        codes = np.zeros(len(members), np.int64)
+        for k in range(depth):
+            codes = extend(codes, members[:, k])
+        order = np.argsort(codes)
+        codes, members, totals = codes[order], members[order], totals[order]
+        counted = rows.mapInArrow(next_counter(symbols, codes, depth), "context int, next int, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
+        at, nxt, n = columns(counted.filter(F.col("n") >= least_next), "context", "next", "n")
+        order = np.lexsort((nxt, at))
+        at, nxt, n = at[order].astype(np.int64), nxt[order], n[order]
+        grow(tree, codes, members, totals, at, nxt, n)
+        inner = nxt != symbols.end
+        members, totals = np.concatenate([members[at[inner]], nxt[inner, None]], 1), n[inner]
+    scratch.drop(rows)
     return tree
 
 
@@ -301,18 +344,17 @@ def scorer(tree: Tree, n_texts: int):
                     continue
                 if memo is None:
                     h = np.concatenate([symbols.hashes, *hashes]) if hashes or len(symbols.hashes) else np.empty(0, np.int64)
-                    c = np.concatenate([frequent_counts, *counts]) if len(h) else np.empty(0, np.int64)
+                    c = np.concatenate([tree.counts, *counts]) if len(h) else np.empty(0, np.int64)
                     order = np.argsort(h)
                     known = h[order], c[order]
                     hashes, counts, memo = [], [], Memo(figures, 150_000)
                 for x in chunks(iter([piece])):
                     yield score(x)
 
-    frequent_counts = np.round(10 ** tree.root[: symbols.rare] * total - 1).astype(np.int64)
     return run
 
 
-def suffix_tree_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, context_share: float = CONTEXT_SHARE, next_share: float = NEXT_SHARE, depth: int = DEPTH) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, context_scale: float = CONTEXT_SCALE, next_scale: float = NEXT_SCALE, depth: int = DEPTH) -> DataFrame:
     """Score every document (doc_id, text) with a tree of those whose crc32(doc_id) modulo ``modulus`` is not ``remainder``."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"))
@@ -324,9 +366,9 @@ def suffix_tree_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2, co
     corpus = scratch.save(own.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
     total = corpus.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
     tokens, kinds = (total["n"] or 0) + n_texts, total["kinds"] + (n_texts > 0)
-    least = max(2, context_share * tokens)
-    frequent = {r["word"]: r["n"] for r in corpus.filter(F.col("n") >= least).collect()}
-    tree = train(docs.filter("not held_out"), frequent, n_texts, tokens, kinds, context_share, next_share, depth)
+    least = least_count(context_scale, tokens)
+    frequent = tuple(columns(corpus.filter(F.col("n") >= least), "word", "n"))
+    tree = train(docs.filter("not held_out"), scratch, frequent, n_texts, tokens, kinds, least, least_count(next_scale, tokens), depth)
     counts = own.select("part", "word").join(corpus.filter(F.col("n") < least), "word").select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"), "word", "n")
     texts = dealt.select("part", F.lit(1).alias("kind"), "doc_id", "held_out", "text", F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("n"))
     both = counts.union(texts).repartitionById(parts, "part").sortWithinPartitions("part", "kind")
