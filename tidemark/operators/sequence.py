@@ -296,11 +296,14 @@ def merge(df: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def switch(df: DataFrame, source: str, time: str, order: Sequence[str]) -> DataFrame:
-    """Rows of the source that began last: once a source has begun, those that began before it end."""
+    """Rows of the source that began last: once a source has begun, those that began before it end.
+
+    The time alone ends a source: its rows of that time are out, whatever their
+    ``order``, which only tells which of the sources that begin at once is the last.
+    """
     begun = df.groupBy(source).agg(F.min(F.struct(F.col(time), *order)).alias("__begin"))
-    ends = begun.withColumn("__end", F.lead("__begin").over(Window.orderBy("__begin"))).drop("__begin").withColumnRenamed(source, "__source")
-    at = F.struct(F.col(time), *order)
-    return df.join(ends, F.col(source).eqNullSafe(F.col("__source"))).filter(F.col("__end").isNull() | (at < F.col("__end"))).drop("__source", "__end")
+    ends = begun.withColumn("__end", F.lead(F.col("__begin")[time]).over(Window.orderBy("__begin"))).drop("__begin").withColumnRenamed(source, "__source")
+    return df.join(ends, F.col(source).eqNullSafe(F.col("__source"))).filter(F.col("__end").isNull() | (F.col(time) < F.col("__end"))).drop("__source", "__end")
 
 
 def amb(df: DataFrame, source: str, time: str, order: Sequence[str]) -> DataFrame:
