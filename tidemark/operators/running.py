@@ -18,22 +18,28 @@ from pyspark.sql.window import Window
 BUCKETS = 256
 
 
-def bucketed(df: DataFrame, order: str, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``bucket``: cut at approximate quantiles of ``order``, so a burst is as many buckets as its rows need (the cuts go to the driver)."""
+def cuts_of(df: DataFrame, order: str, buckets: int = BUCKETS) -> list:
+    """Approximate quantiles of ``order``, sorted and distinct (they go to the driver)."""
     shares = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(order, shares, 10 * buckets).alias("cuts")).first()
-    cuts = sorted(set(row["cuts"] or ()))
-    if not cuts:
-        return df.withColumn("bucket", F.lit(0).cast("long"))
+    return sorted(set(row["cuts"] or ()))
+
+
+def placed(value: Column, cuts: list) -> Column:
+    """The number of cuts that are less than a value, by halving: no row meets them all."""
 
-    # The place of a value among the cuts, by halving: no row meets them all.
     def place(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(F.col(order) <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+        return F.when(value <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
 
-    return df.withColumn("bucket", place(0, len(cuts)).cast("long"))
+    return place(0, len(cuts)).cast("long")
+
+
+def bucketed(df: DataFrame, order: str, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``bucket``: cut at approximate quantiles of ``order``, so a burst is as many buckets as its rows need."""
+    return df.withColumn("bucket", placed(F.col(order), cuts_of(df, order, buckets)))
 
 
 def ordinals(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "number", buckets: int = BUCKETS) -> DataFrame:

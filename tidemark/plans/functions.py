@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import aggregates as A
 from tidemark.functions import strings as S
 from tidemark.operators import aggregate as G
+from tidemark.operators.ranked import snapshot_ranked
 from tidemark.plans.aggregates import SEGMENTS
 from tidemark.plans.tables import DAY, ev, purchases, query, views
 
@@ -103,7 +104,7 @@ def agg_snapshot_partials(spark, d):
 
 @query(f", {SEGMENTS} SELECT s AS vs, e AS ve, round(quantile_cont(cents, 0.5), 2) AS middle, quantile_disc(cents, 0.6) AS d60 FROM seg JOIN ev ON ev.vs < e AND ev.ve > s GROUP BY s, e")
 def agg_snapshot_percentiles(spark, d):
-    return G.snapshot(ev(spark, d), {"middle": A.percentile_continuous("cents", 0.5), "d60": A.percentile_discrete("cents", 0.6)}).withColumns({"middle": F.round("middle", 2), "d60": F.col("d60").cast("bigint")})
+    return snapshot_ranked(ev(spark, d), "cents", {"middle": ("continuous", 0.5), "d60": ("discrete", 0.6)}).withColumn("middle", F.round("middle", 2))
 
 
 @query(f""", {SEGMENTS} SELECT vs, ve, string_agg(cents || ':' || r, ',' ORDER BY cents DESC) AS top FROM (
