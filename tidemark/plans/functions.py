@@ -110,7 +110,7 @@ def agg_snapshot_percentiles(spark, d):
 @query(f""", {SEGMENTS} SELECT vs, ve, string_agg(cents || ':' || r, ',' ORDER BY cents DESC) AS top FROM (
 SELECT s AS vs, e AS ve, cents, rank() OVER (PARTITION BY s ORDER BY cents DESC) AS r FROM seg JOIN ev ON ev.vs < e AND ev.ve > s) WHERE r <= 2 GROUP BY vs, ve""")
 def agg_snapshot_topk(spark, d):
-    out = G.snapshot(ev(spark, d), {"top": A.top_k("cents", 2)})
+    out = snapshot_ranked(ev(spark, d), "cents", {"top": ("top", 2)})
     return out.withColumn("top", F.array_join(F.transform("top", lambda r: F.concat_ws(":", r["value"], r["rank"])), ","))
 
 
