@@ -65,7 +65,7 @@ THETA = f"m AS (SELECT v.event_id AS user_id, greatest(v.vs, p.vs) AS vs, least(
 @query(f", {THETA}, {cover('cp', 'm')} SELECT event_id, vs, ve FROM ({gaps('vw0', 'cp')})")
 def join_anti_theta(spark, d):
     c = ["event_id", "cents", "vs", "ve"]
-    return J.anti_join(views(spark, d).select(*c), purchases(spark, d).select(*c), (), F.col("cents") < F.col("r_cents")).drop("cents")
+    return J.anti_join(views(spark, d).select(*c), purchases(spark, d).select(*c), less=("cents", "cents")).drop("cents")
 
 
 @query(f", {THETA}, {cover('cp', 'm')} SELECT event_id, vs, ve, NULL AS r_event_id FROM ({gaps('vw0', 'cp')}) UNION ALL SELECT user_id, vs, ve, other FROM m")
