@@ -71,7 +71,7 @@ def join_anti_theta(spark, d):
 @query(f", {THETA}, {cover('cp', 'm')} SELECT event_id, vs, ve, NULL AS r_event_id FROM ({gaps('vw0', 'cp')}) UNION ALL SELECT user_id, vs, ve, other FROM m")
 def join_left_outer_theta(spark, d):
     c = ["event_id", "cents", "vs", "ve"]
-    return J.left_outer_join(views(spark, d).select(*c), purchases(spark, d).select(*c), (), F.col("cents") < F.col("r_cents")).select("event_id", "vs", "ve", "r_event_id")
+    return J.left_outer_join(views(spark, d).select(*c), purchases(spark, d).select(*c), less=("cents", "cents")).select("event_id", "vs", "ve", "r_event_id")
 
 
 @query("SELECT event_id, vs, ve FROM vw UNION ALL SELECT event_id, vs, ve FROM pu UNION ALL SELECT event_id, vs, ve FROM ev")
