@@ -61,3 +61,11 @@ def test_extracted_texts_are_the_articles(spark):
     wrong = {k for k in want if found[k] != want[k]}
     assert len(want) > 10
     assert not wrong, [(k, want[k][-200:], found[k][-200:]) for k in list(wrong)[:3]]
+
+
+def test_placing_forgets_the_words():
+    from tidemark.llm import packing
+
+    packing.word_level(packing.vocabulary())
+    ranges, _ = packing.plan({3: 2})
+    assert list(packing.placer(ranges)(iter(()))) == [] and packing.word_level.cache_info().currsize == 0

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.bpe import PairIndexBPE
-from tidemark.llm.common import Scratch, chunks, utf8
+from tidemark.llm.common import Scratch, chunks, release_memory, shrink_heaps, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -270,6 +270,9 @@ def placer(ranges: np.ndarray):
     key = ranges[:, 0] << 48 | ranges[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if word_level.cache_info().currsize:  # texts are read; the worker's words would lie beside the heap that ranks need
+            word_level.cache_clear()
+            release_memory()
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(key, length << 48 | rank, "right") - 1
@@ -315,7 +318,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     Texts are read once; the table of pieces (a few dozen bytes each) is
     written to the shared folder, so their ranks hold if an executor is lost.
+    Heaps are shrunk before texts are read and before ranks are counted, as
+    workers with their words live beside them.
     """
     scratch = Scratch(docs.sparkSession)
+    shrink_heaps(docs.sparkSession)
     pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(cutter(vocabulary(path), capacity, end_id), PIECES))
+    shrink_heaps(docs.sparkSession)
     return place(pieces, capacity)
