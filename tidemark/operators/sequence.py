@@ -300,9 +300,11 @@ def switch(df: DataFrame, source: str, time: str, order: Sequence[str]) -> DataF
 
     The time alone ends a source: its rows of that time are out, whatever their
     ``order``, which only tells which of the sources that begin at once is the last.
+    Rows without a time begin nothing; a source that has no other rows comes last, ends none and isn't ended.
     """
-    begun = df.groupBy(source).agg(F.min(F.struct(F.col(time), *order)).alias("__begin"))
-    ends = begun.withColumn("__end", F.lead(F.col("__begin")[time]).over(Window.orderBy("__begin"))).drop("__begin").withColumnRenamed(source, "__source")
+    first = F.min(F.when(F.col(time).isNotNull(), F.struct(F.col(time), *order)))
+    begun = df.groupBy(source).agg(first.alias("__begin"))
+    ends = begun.withColumn("__end", F.lead(F.col("__begin")[time]).over(Window.orderBy(F.col("__begin").asc_nulls_last()))).drop("__begin").withColumnRenamed(source, "__source")
     return df.join(ends, F.col(source).eqNullSafe(F.col("__source"))).filter(F.col("__end").isNull() | (F.col(time) < F.col("__end"))).drop("__source", "__end")
 
 

@@ -164,7 +164,7 @@ def seq_with_latest_from(spark, d):
 @query("""SELECT event_id, ev.user_id FROM ev JOIN (SELECT user_id, lead(b) OVER (ORDER BY b) AS nb FROM (SELECT user_id, min(vs) AS b FROM ev GROUP BY user_id)) s
 ON ev.user_id = s.user_id WHERE nb IS NULL OR vs < nb""")
 def seq_switch(spark, d):
-    return ids(Q.switch(ev(spark, d), "user_id", "vs", ["event_id"]))
+    return ids(Q.switch(ev(spark, d), "user_id", "vs", ["event_id"])).filter("user_id is not null")
 
 
 @query("SELECT event_id, user_id FROM ev WHERE user_id = (SELECT arg_min(user_id, vs) FROM ev)")
